@@ -70,7 +70,7 @@ Scale = str | CalendarScale | Column
 
 
 def _scaled(scale: Scale, fn: Callable[[CalendarScale], Column]) -> Column:
-    """``fn`` of a scale, or of the scale each row names (one of ``SCALES``)."""
+    """``fn`` of a scale, or of the scale each row names (one of ``SCALES``; null for another name)."""
     if isinstance(scale, str):
         return fn(BY_NAME[scale])
     if isinstance(scale, CalendarScale):

@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 from tidegrid.model import AggregateSpec, floor_to, idiv, spec_of
 from tidegrid.operators.points import drop_backward, with_positions
 from tidegrid.operators.scan import SLAB_BITS
+from tidegrid.session import materialize
 
 LEAF_SIZE = 64
 FANOUT = 16
 MAX_POINTS = 1 << 52  # longest series the level tables cover
 
 
+def _longs(values: list[int]) -> Column:
+    return F.expr(f"array({', '.join(f'{x}L' for x in values)})")
+
+
 @dataclass(frozen=True)
 class CountShape:
     """Which node a position belongs to when groups are split on being full.
@@ -50,15 +55,14 @@ class CountShape:
         return unit, limit
 
     def _unit(self, level: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(u).cast("long") for u in self.tables[0]]), level + 1)
+        return F.element_at(_longs(self.tables[0]), level + 1)
 
     def _limit(self, level: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(c).cast("long") for c in self.tables[1]]), level + 1)
+        return F.element_at(_longs(self.tables[1]), level + 1)
 
     def top(self, n: Column) -> Column:
         """The level at which a series of ``n`` points has one node."""
-        limits = F.array(*[F.lit(c).cast("long") for c in self.tables[1]])
-        return F.size(F.filter(limits, lambda c: c < n))
+        return F.size(F.filter(_longs(self.tables[1]), lambda c: c < n))
 
     def count(self, n: Column, level: Column) -> Column:
         """How many nodes a series of ``n`` points has on a level."""
@@ -146,7 +150,7 @@ def build_time_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", bas
 
 def time_levels(leaves: DataFrame, spec: AggregateSpec, fanout: int, levels: int) -> DataFrame:
     """All levels of a time grid from its level-0 nodes."""
-    width = F.element_at(F.array(*[F.lit(fanout ** j).cast("long") for j in range(levels)]), F.col("level") + 1)
+    width = F.element_at(_longs([fanout ** j for j in range(levels)]), F.col("level") + 1)
     up = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     up = up.withColumn("node_id", idiv(floor_to(F.col("node_id"), width), width))
     return with_grid_parent(_grouped(up, spec, "series", "level", "node_id"), fanout, levels)
@@ -181,14 +185,12 @@ def append_points(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int
     top_nodes = pyramid.nodes.filter("parent_id is null")
     held = top_nodes.select("series", F.col("series_n").alias("old_n"), F.col("max_t").alias("last_t"))
 
-    fresh = drop_backward(points, pos, last_times=held.select("series", "last_t"), bits=bits).select(
-        "series", "t", "v")
-    fresh = with_positions(fresh, bits).withColumnRenamed("series_n", "added")
-    grown = (fresh.groupBy("series").agg(F.max("added").alias("added"))
-             .join(held.drop("last_t"), "series", "left").fillna(0, ["old_n"])
-             .select("series", "old_n", (F.col("old_n") + F.col("added")).alias("new_n")))
-
-    fresh = fresh.drop("added").join(grown, "series").withColumn("pos", F.col("pos") + F.col("old_n"))
+    kept = drop_backward(points, pos, last_times=held.select("series", "last_t"), bits=bits)
+    fresh = with_positions(kept.select("series", "t", "v"), bits).join(
+        held.drop("last_t"), "series", "left").fillna(0, ["old_n"])
+    fresh = materialize(fresh.select("series", "t", "v", (F.col("pos") + F.col("old_n")).alias("pos"), "old_n",
+                                     (F.col("series_n") + F.col("old_n")).alias("new_n")), "appended")
+    grown = fresh.groupBy("series").agg(F.max("old_n").alias("old_n"), F.max("new_n").alias("new_n"))
     last_leaf = shape.count(F.col("old_n"), F.lit(0)) - 1
     open_points = pyramid.points.join(grown, "series").filter(F.col("node_id") >= last_leaf)
     placed = (open_points.select("series", "t", "v", "pos", "new_n")

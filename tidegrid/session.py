@@ -18,6 +18,7 @@ def local_session(app: str = "tidegrid", cores: str = "8", shuffle_partitions: i
             .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .getOrCreate())
 
 
@@ -26,14 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may run without the setting; it then gets a temporary folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tidegrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegrid-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

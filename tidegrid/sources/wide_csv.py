@@ -128,10 +128,8 @@ def infer_kinds(rows: DataFrame, width: int, sample_rows: int | None = SAMPLE_RO
         return ()
     if sample_rows is not None:
         rows = rows.filter("_metadata.file_block_start = 0").limit(sample_rows)
-    filled = [~is_empty(F.col(c)) for c in cells]
-    checks = rows.agg(*[F.count_if(f).alias(f"n_{c}") for c, f in zip(cells, filled)],
-                      *[F.count_if(f & F.col(c).try_cast("double").isNull()).alias(f"t_{c}")
-                        for c, f in zip(cells, filled)]).first()
+    checks = rows.selectExpr(*[f"count_if({c} <> '') AS n_{c}" for c in cells], *[
+        f"count_if({c} <> '' AND try_cast({c} AS DOUBLE) IS NULL) AS t_{c}" for c in cells]).first()
     return tuple(None if checks[f"n_{c}"] == 0 else "str" if checks[f"t_{c}"] else "num" for c in cells)
 
 
@@ -143,6 +141,10 @@ def read_layout(spark: SparkSession, path: str, sample_rows: int | None = SAMPLE
     return Layout(header, infer_kinds(sample, len(header), sample_rows))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _time(rows: DataFrame) -> Column:
     return parsed_or_fail(F.col("c0"), to_epoch_ms(F.col("c0")), "time")
 
@@ -153,7 +155,8 @@ def _melt(rows: DataFrame, columns: dict[str, int], carried: Sequence[str]) -> D
     wide = rows.select(*ids, *[F.col(f"c{at}").alias(f"_{at}") for at in columns.values()])
     names = {f"_{at}": name for name, at in columns.items()}
     long = wide.unpivot(["t", *carried], list(names), "_column", "cell").filter(~is_empty(F.col("cell")))
-    series = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("_column"))
+    series = F.element_at(F.expr(f"map({', '.join(f'{_quoted(c)}, {_quoted(n)}' for c, n in names.items())})"),
+                          F.col("_column"))
     return long.select(series.alias("series"), "t", "cell", *carried)
 
 
@@ -191,26 +194,25 @@ def zip_arrays(rows: DataFrame, layout: Layout, strict: bool = True) -> DataFram
     arrays = layout.arrays
     if not arrays:
         return None
+    # as SQL text: a file may have very many columns, and each is one short expression
     used = sorted({at for members in arrays.values() for at in members})
-    filled = F.lit(False)
-    for at in used:
-        filled = filled | ~is_empty(F.col(f"c{at}"))
-    numbers = [F.when(~is_empty(F.col(f"c{at}")),
-                      parsed_or_fail(F.col(f"c{at}"), F.col(f"c{at}").try_cast("double"), "num")).alias(f"c{at}")
-               for at in used]
-    timed = rows.filter(filled).select("file", "pos", _time(rows).alias("t"), *numbers)
+    filled = " OR ".join(f"c{at} <> ''" for at in used)
+    numbers = [f"CASE WHEN c{at} <> '' THEN coalesce(try_cast(c{at} AS DOUBLE), "
+               f"raise_error('cannot read num: ' || c{at})) END AS c{at}" for at in used]
+    timed = rows.filter(filled).select("file", "pos", _time(rows).alias("t"), *[f"c{at}" for at in used])
+    timed = timed.selectExpr("file", "pos", "t", *numbers)
     if strict:
         timed = require_ordered(timed, "pos", ["file"], strict=False)
-    per_time = timed.groupBy("file", "t").agg(
-        F.min("pos").alias("pos"),
-        *[F.min_by(f"c{at}", F.when(F.col(f"c{at}").isNotNull(), F.col("pos"))).alias(f"c{at}") for at in used])
+    firsts = [f"min_by(c{at}, pos) FILTER (WHERE c{at} IS NOT NULL) AS c{at}" for at in used]
+    per_time = timed.groupBy("file", "t").agg(F.expr("min(pos) AS pos"), *map(F.expr, firsts))
 
-    zipped = per_time.select("file", "pos", "t", F.explode(F.array(*[
-        F.struct(F.lit(prefix).alias("series"), F.array(*[f"c{at}" for at in members]).alias("v"))
-        for prefix, members in arrays.items()])).alias("a")).select("file", "pos", "t", "a.series", "a.v")
+    series = [f"named_struct('series', {_quoted(prefix)}, 'v', array({', '.join(f'c{at}' for at in members)}))"
+              for prefix, members in arrays.items()]
+    zipped = per_time.selectExpr("file", "pos", "t", f"inline(array({', '.join(series)})) AS (series, v)")
     missing = F.coalesce(F.array_position(F.transform("v", lambda x: x.isNull()), True), F.lit(0))
     length = F.when(missing == 0, F.size("v").cast("long")).otherwise(missing - 1)
-    cut = zipped.withColumn("_len", length).filter("_len > 0").withColumn("v", F.slice("v", F.lit(1), F.col("_len").cast("int")))
+    cut = zipped.withColumn("_len", length).filter("_len > 0").withColumn(
+        "v", F.slice("v", F.lit(1), F.col("_len").cast("int")))
     longest = cut.groupBy("file", "series").agg(F.max("_len").alias("_longest"))
     full = cut.join(longest, ["file", "series"]).filter("_len = _longest")
     return full.select("series", "t", "v", "file", "pos")
