@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SLAB_BITS = 22
@@ -105,30 +105,35 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, carries: Mappin
 
 
 def split_by(df: DataFrame, keys: Sequence[str], order: str, needs: Sequence[str],
-             rule: Callable[[Row, Row], Column], group: str, bits: int = SLAB_BITS) -> DataFrame:
+             rule: Callable[[Row, Row], Column], group: str, bits: int | None = SLAB_BITS) -> DataFrame:
     """Cut every ordered series into groups numbered from 0 in column ``group``.
 
     ``rule(prev, cur)`` says whether ``cur`` starts a new group; both map the column names in ``needs``
     to columns. The first row of a series never starts another group. The number a row gets is the
-    count of starts before it in its slab plus what the earlier slabs carry in.
+    count of starts before it in its slab plus what the earlier slabs carry in. With ``bits`` None a
+    series is one slab, for rows whose number per series has a known bound.
     """
     keys, at, in_slab = list(keys), F.col(order), [*list(keys), "_slab"]
-    w = Window.partitionBy(*in_slab).orderBy(at)
-    prev = {c: F.lag(c).over(w) for c in needs}
     cur = {c: F.col(c) for c in needs}
 
     def starts(p: Row, c: Row) -> Column:
         return F.coalesce(rule(p, c), F.lit(False)).cast("long")
 
-    def flagged(frame: DataFrame) -> DataFrame:
-        frame = frame.withColumn("_slab", slab_of(at, bits))
-        frame = frame.withColumns({f"_p_{c}": col for c, col in prev.items()})
+    def flagged(frame: DataFrame, w: WindowSpec) -> DataFrame:
+        frame = frame.withColumns({f"_p_{c}": F.lag(c).over(w) for c in needs})
         frame = frame.withColumn("_first", F.row_number().over(w) == 1)
         return frame.withColumn("_start", F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(
             starts({c: F.col(f"_p_{c}") for c in needs}, cur)))
 
+    if bits is None:
+        w = Window.partitionBy(*keys).orderBy(at)
+        number = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return flagged(df, w).select(*df.columns, number.alias(group))
+
+    w = Window.partitionBy(*in_slab).orderBy(at)
+    slab = slab_of(at, bits)
     slim = list(dict.fromkeys([*keys, order, *needs]))
-    edges = flagged(df.select(*slim)).groupBy(*in_slab).agg(
+    edges = flagged(df.select(*slim, slab.alias("_slab")), w).groupBy(*in_slab).agg(
         F.sum("_start").alias("_inner"),
         *[F.min_by(c, at).alias(f"_f_{c}") for c in needs],
         *[F.max_by(c, at).alias(f"_e_{c}") for c in needs])
@@ -142,5 +147,5 @@ def split_by(df: DataFrame, keys: Sequence[str], order: str, needs: Sequence[str
                      F.lit(0).cast("long"))).alias("_base"))
 
     local = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = flagged(df).withColumn("_local", local).join(carried, in_slab)
+    numbered = flagged(df.withColumn("_slab", slab), w).withColumn("_local", local).join(carried, in_slab)
     return numbered.select(*df.columns, (F.col("_base") + F.col("_local")).alias(group))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators.lod import query_lod
 from tidegrid.operators.pyramid import Pyramid
 from tidegrid.operators.resample import PX_PER_POINT, min_resolution, resample
+from tidegrid.operators.scan import SLAB_BITS
 from tidegrid.operators.sections import BREAK_MS, section_by_gap
 from tidegrid.session import materialize
 
@@ -31,6 +32,16 @@ class Viewport:
         return int((self.end - self.start) / self.width_px * PX_PER_POINT)
 
 
+WIDEST_PX = 1 << 20
+
+
+def _cut(resampled: DataFrame, width_px: int, gap_ms: int) -> DataFrame:
+    """Sections of resampled rows. A row is shorter than two buckets and a view has ``width_px / 3`` of them,
+    so a series has at most two rows per bucket however many points it holds: one window will do.
+    """
+    return section_by_gap(resampled, gap_ms, bits=None if width_px <= WIDEST_PX else SLAB_BITS)
+
+
 def choose(pyramid: Pyramid, series: Sequence[str]) -> Pyramid:
     """The pyramid of some series only; the filter reaches the stored files."""
     mine = F.col("series").isin(*series)
@@ -40,7 +51,7 @@ def choose(pyramid: Pyramid, series: Sequence[str]) -> Pyramid:
 def view(pyramid: Pyramid, port: Viewport) -> DataFrame:
     """Sectioned rows of every series for one shared time range."""
     rows = query_lod(pyramid, port.start, port.end, port.resolution)
-    return section_by_gap(resample(rows, port.resolution, pyramid.spec), port.gap_ms)
+    return _cut(resample(rows, port.resolution, pyramid.spec), port.width_px, port.gap_ms)
 
 
 def view_ranges(pyramid: Pyramid, ranges: DataFrame, width_px: int, gap_ms: int = BREAK_MS) -> DataFrame:
@@ -49,7 +60,7 @@ def view_ranges(pyramid: Pyramid, ranges: DataFrame, width_px: int, gap_ms: int
                            min_resolution(F.col("start"), F.col("end"), width_px).alias("resolution"))
     rows = query_lod(pyramid, ranges=ranges)
     resampled = resample(rows, F.col("resolution"), pyramid.spec, ["series", "resolution"])
-    return section_by_gap(resampled.drop("resolution"), gap_ms)
+    return _cut(resampled.drop("resolution"), width_px, gap_ms)
 
 
 def view_metrics(pyramid: Pyramid, port: Viewport) -> DataFrame:
@@ -72,7 +83,7 @@ def timed_view(pyramid: Pyramid, port: Viewport) -> tuple[DataFrame, list[Stage]
     """Run ``view`` stage by stage, each written to the shared folder, with row counts and times."""
     steps = {"range": lambda _: query_lod(pyramid, port.start, port.end, port.resolution),
              "resample": lambda rows: resample(rows, port.resolution, pyramid.spec),
-             "section": lambda rows: section_by_gap(rows, port.gap_ms)}
+             "section": lambda rows: _cut(rows, port.width_px, port.gap_ms)}
     rows, stages = None, []
     for name, step in steps.items():
         seen, began = Observation(f"view_{name}"), time.monotonic()
