@@ -30,7 +30,8 @@ class Carry:
     """A value each row gets from the other rows of its series.
 
     ``sum``: total of the earlier rows. ``max``: largest of the earlier rows. ``last``: latest non-null
-    of the earlier rows. ``next``: first non-null of the later rows. ``all``: total of the whole series.
+    of the earlier rows. ``next``: first non-null of the later rows. ``all`` and ``top``: total and
+    largest of the whole series.
     """
 
     kind: str
@@ -57,6 +58,10 @@ def total_all(value: Column) -> Carry:
     return Carry("all", value)
 
 
+def max_all(value: Column) -> Carry:
+    return Carry("top", value)
+
+
 def slab_of(order: Column, bits: int = SLAB_BITS) -> Column:
     return F.shiftright(order, bits)
 
@@ -64,7 +69,7 @@ def slab_of(order: Column, bits: int = SLAB_BITS) -> Column:
 def _summary(carry: Carry, order: Column) -> Column:
     at = F.when(carry.value.isNotNull(), order)
     return {"sum": lambda: F.sum(carry.value), "all": lambda: F.sum(carry.value),
-            "max": lambda: F.max(carry.value), "last": lambda: F.max_by(carry.value, at),
+            "max": lambda: F.max(carry.value), "top": lambda: F.max(carry.value), "last": lambda: F.max_by(carry.value, at),
             "next": lambda: F.min_by(carry.value, at)}[carry.kind]()
 
 
@@ -74,28 +79,32 @@ def _windowed(kind: str, value: Column, keys: Sequence[str], order: Column) -> C
     after = whole.orderBy(order.desc()).rowsBetween(Window.unboundedPreceding, -1)
     return {"sum": lambda: F.coalesce(F.sum(value).over(before), F.lit(0).cast("long")),
             "all": lambda: F.sum(value).over(whole),
+            "top": lambda: F.max(value).over(whole),
             "max": lambda: F.max(value).over(before),
             "last": lambda: F.last(value, ignorenulls=True).over(before),
             "next": lambda: F.last(value, ignorenulls=True).over(after)}[kind]()
 
 
 def _combined(kind: str, local: Column | None, carried: Column) -> Column:
-    return {"sum": lambda: local + carried, "all": lambda: carried,
+    return {"sum": lambda: local + carried, "all": lambda: carried, "top": lambda: carried,
             "max": lambda: F.greatest(local, carried), "last": lambda: F.coalesce(local, carried),
             "next": lambda: F.coalesce(local, carried)}[kind]()
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, carries: Mapping[str, Carry],
-                 bits: int = SLAB_BITS) -> DataFrame:
-    """Add one column per carry. ``order`` is a BIGINT column, unique inside ``keys``."""
+                 bits: int = SLAB_BITS, source: DataFrame | None = None) -> DataFrame:
+    """Add one column per carry. ``order`` is a BIGINT column, unique inside ``keys``.
+
+    ``source`` may give rows of the same columns that sum up to the same per slab and are cheaper to compute.
+    """
     keys, at = list(keys), F.col(order)
     slab = slab_of(at, bits).alias("_slab")
-    summaries = df.groupBy(*keys, slab).agg(*[_summary(c, at).alias(f"_s_{n}") for n, c in carries.items()])
+    summaries = (df if source is None else source).groupBy(*keys, slab).agg(*[_summary(c, at).alias(f"_s_{n}") for n, c in carries.items()])
     carried = summaries.select(*keys, "_slab", *[
         _windowed(c.kind, F.col(f"_s_{n}"), keys, F.col("_slab")).alias(f"_c_{n}") for n, c in carries.items()])
 
     in_slab = [*keys, "_slab"]
-    local = {n: c for n, c in carries.items() if c.kind != "all"}
+    local = {n: c for n, c in carries.items() if c.kind not in ("all", "top")}
     scanned = df.withColumn("_slab", slab).withColumns(
         {f"_l_{n}": _windowed(c.kind, c.value, in_slab, at) for n, c in local.items()})
     joined = scanned.join(carried, in_slab)
