@@ -140,7 +140,9 @@ def test_append_equals_building_at_once(spark, points, rows, old, new):
     early = both.filter(F.col("t") < old * 2)
     late = both.filter(F.col("t") >= max(0, old * 2 - 6)).withColumn("pos", F.col("t"))  # overlaps what is held
     first = held(pyr.build_pyramid(early.unionByName(other), "num", 4, 4))
-    got = held(pyr.append_points(first, late, "pos", 4, 4, bits=3))
+    delta = held(pyr.append_delta(first, late, "pos", 4, 4, bits=3))
+    got = held(pyr.upsert(first, delta))
+    assert delta.points.count() <= new + 4 and delta.nodes.filter("series = 'untouched'").count() == 0
     want = pyr.build_pyramid(both.unionByName(other), "num", 4, 4)
     assert rows(got.nodes, *want.nodes.columns) == rows(want.nodes)
     assert rows(got.points, *want.points.columns) == rows(want.points)

@@ -1,9 +1,9 @@
 """Pre-aggregated nodes of every series at many resolutions.
 
 Two shapes share one node table ``(series, level, node_id, min_t, max_t, <state>, parent_id, parent_span)``:
-``build_pyramid`` groups consecutive points (level 0) and consecutive nodes (higher levels) by count,
-``build_time_pyramid`` groups by a time grid. ``parent_span`` is stored so that a range query picks the
-coarsest fitting nodes with a filter; it is null at the top.
+``build_pyramid`` groups consecutive points (level 0) and consecutive nodes (higher levels) by count and
+adds ``n_points``, ``build_time_pyramid`` groups by a time grid. ``parent_span`` is stored so that a range
+query picks the coarsest fitting nodes with a filter; it is null at the top.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tidegrid.operators.points import drop_backward, with_positions
 from tidegrid.operators.scan import SLAB_BITS
 from tidegrid.session import materialize
 
+# Most points in a leaf and most children of a node
 LEAF_SIZE = 64
 FANOUT = 16
 MAX_POINTS = 1 << 52  # longest series the level tables cover
@@ -72,9 +73,9 @@ class CountShape:
     def leaf_of(self, pos: Column, n: Column) -> Column:
         return F.least(idiv(pos, self.leaf_size // 2), self.count(n, F.lit(0)) - 1)
 
-    def ancestor(self, leaf: Column, n: Column, level: Column) -> Column:
-        """The node on ``level`` above level-0 node ``leaf``."""
-        return F.least(idiv(leaf, idiv(self._unit(level), self.leaf_size // 2)), self.count(n, level) - 1)
+    def ancestor(self, node: Column, below: Column, n: Column, level: Column) -> Column:
+        """The node on ``level`` that is or is above ``node`` of level ``below``."""
+        return F.least(idiv(node, idiv(self._unit(level), self._unit(below))), self.count(n, level) - 1)
 
     def parent(self, node: Column, n: Column, level: Column) -> Column:
         return F.when(level < self.top(n), F.least(idiv(node, self.half), self.count(n, level + 1) - 1))
@@ -102,16 +103,27 @@ def _with_parent_span(nodes: DataFrame) -> DataFrame:
 
 def _leaves(placed: DataFrame, spec: AggregateSpec) -> DataFrame:
     rows = placed.select("series", "series_n", "node_id", F.col("t").alias("min_t"), F.col("t").alias("max_t"),
-                         *spec.lifted(F.col("v")))
-    return _grouped(rows, spec, "series", "series_n", "node_id")
+                         *spec.lifted(F.col("v")), F.lit(1).cast("long").alias("n_points"))
+    return _counted(rows, spec, "series", "series_n", "node_id").withColumn("level", F.lit(0))
+
+
+def _counted(rows: DataFrame, spec: AggregateSpec, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t"), *spec.merged(),
+                                   F.sum("n_points").alias("n_points"))
 
 
-def _levels(leaves: DataFrame, spec: AggregateSpec, shape: CountShape) -> DataFrame:
-    """Nodes of all levels from level 0: every leaf is merged into each of its ancestors in one shuffle."""
-    n, level = F.col("series_n"), F.col("level")
-    up = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), shape.top(n))))
-    up = up.withColumn("node_id", shape.ancestor(F.col("node_id"), n, level))
-    return _grouped(up, spec, "series", "series_n", "level", "node_id")
+def _levels(nodes: DataFrame, spec: AggregateSpec, shape: CountShape) -> DataFrame:
+    """Nodes of the levels from ``above`` up: every given node is merged into each of its ancestors in one shuffle."""
+    n, up = F.col("series_n"), F.col("_up")
+    raised = nodes.filter(F.col("above") <= shape.top(n)).withColumn(
+        "_up", F.explode(F.sequence(F.col("above"), shape.top(n))))
+    raised = raised.withColumn("node_id", shape.ancestor(F.col("node_id"), F.col("level"), n, up))
+    return _counted(raised.drop("level").withColumnRenamed("_up", "level"), spec, "series", "series_n", "level", "node_id")
+
+
+def _with_parents(nodes: DataFrame, shape: CountShape) -> DataFrame:
+    parent = shape.parent(F.col("node_id"), F.col("series_n"), F.col("level"))
+    return _with_parent_span(nodes.withColumn("parent_id", parent)).drop("series_n")
 
 
 def place_points(points: DataFrame, shape: CountShape, bits: int = SLAB_BITS) -> DataFrame:
@@ -120,18 +132,13 @@ def place_points(points: DataFrame, shape: CountShape, bits: int = SLAB_BITS) ->
     return placed.withColumn("node_id", shape.leaf_of(F.col("pos"), F.col("series_n")))
 
 
-def nodes_of(placed: DataFrame, spec: AggregateSpec, shape: CountShape) -> DataFrame:
-    nodes = _levels(_leaves(placed, spec), spec, shape)
-    parent = shape.parent(F.col("node_id"), F.col("series_n"), F.col("level"))
-    return _with_parent_span(nodes.withColumn("parent_id", parent))
-
-
 def build_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", leaf_size: int = LEAF_SIZE,
                   fanout: int = FANOUT, bits: int = SLAB_BITS) -> Pyramid:
     """The count-based pyramid of points in strictly increasing time."""
     spec, shape = spec_of(kind), CountShape(leaf_size, fanout)
     placed = place_points(points, shape, bits)
-    return Pyramid(placed, nodes_of(placed, spec, shape), spec)
+    leaves = _leaves(placed, spec).withColumn("above", F.lit(0))
+    return Pyramid(placed.drop("series_n"), _with_parents(_levels(leaves, spec, shape), shape), spec)
 
 
 def build_time_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", base_ms: int = 60_000,
@@ -172,53 +179,62 @@ def append_time_points(pyramid: Pyramid, points: DataFrame, base_ms: int = 60_00
     return Pyramid(pyramid.points.unionByName(new.points), nodes, spec)
 
 
-def append_points(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int = LEAF_SIZE,
-                  fanout: int = FANOUT, bits: int = SLAB_BITS) -> Pyramid:
-    """A count-based pyramid with later points added; equals building it from all points at once.
+def append_delta(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int = LEAF_SIZE,
+                 fanout: int = FANOUT, bits: int = SLAB_BITS) -> Pyramid:
+    """What later points change in a count-based pyramid: the rows to ``upsert``.
 
     ``points`` arrive in ``pos`` order; those not later than what their series holds are dropped. All nodes
-    but the last of a level are final. So only the last leaf's points are read again, and a level is
-    merged anew from leaves under its last node. Nodes whose parent is final too stay as stored.
+    but the last of a level are final, and a final node under a final parent stays as it is. So per series
+    only the last leaf's points are read again, and a few final nodes per level (those whose parent is
+    not final) join the new leaves in making up the rest.
     """
     spec, shape = pyramid.spec, CountShape(leaf_size, fanout)
-    n, level = F.col("series_n"), F.col("level")
-    top_nodes = pyramid.nodes.filter("parent_id is null")
-    held = top_nodes.select("series", F.col("series_n").alias("old_n"), F.col("max_t").alias("last_t"))
-
+    level, old_n = F.col("level"), F.col("old_n")
+    held = pyramid.nodes.filter("parent_id is null").select(
+        "series", F.col("n_points").alias("old_n"), F.col("max_t").alias("last_t"))
     kept = drop_backward(points, pos, last_times=held.select("series", "last_t"), bits=bits)
     fresh = with_positions(kept.select("series", "t", "v"), bits).join(
         held.drop("last_t"), "series", "left").fillna(0, ["old_n"])
-    fresh = materialize(fresh.select("series", "t", "v", (F.col("pos") + F.col("old_n")).alias("pos"), "old_n",
-                                     (F.col("series_n") + F.col("old_n")).alias("new_n")), "appended")
-    grown = fresh.groupBy("series").agg(F.max("old_n").alias("old_n"), F.max("new_n").alias("new_n"))
-    last_leaf = shape.count(F.col("old_n"), F.lit(0)) - 1
-    open_points = pyramid.points.join(grown, "series").filter(F.col("node_id") >= last_leaf)
-    placed = (open_points.select("series", "t", "v", "pos", "new_n")
-              .unionByName(fresh.select("series", "t", "v", "pos", "new_n"))
-              .withColumnRenamed("new_n", "series_n"))
-    placed = placed.withColumn("node_id", shape.leaf_of(F.col("pos"), n))
-
-    old = pyramid.nodes.join(grown, "series", "left")
-    untouched = old.filter("new_n is null").select(*pyramid.nodes.columns)
-    touched = old.filter("new_n is not null")
-    final = F.col("node_id") < shape.count(F.col("old_n"), level) - 1
-    state = ["min_t", "max_t", *spec.state]
-    finals = touched.filter(final)
-
-    leaves = (finals.filter("level = 0").select("series", F.col("new_n").alias("series_n"), "node_id", *state)
-              .unionByName(_leaves(placed, spec)))
-    remade = _levels(leaves, spec, shape).join(grown.select("series", "old_n"), "series")
-    reopened = F.col("node_id") >= F.when(
-        F.col("old_n") == 0, 0).otherwise(shape.count(F.col("old_n"), level) - 1)
-    remade = remade.filter(reopened).select("series", "series_n", "level", "node_id", *state)
-    whole = finals.select("series", F.col("new_n").alias("series_n"), "level", "node_id", *state).unionByName(remade)
-    whole = whole.withColumn("parent_id", shape.parent(F.col("node_id"), n, level))
-    nodes = untouched.unionByName(_with_parent_span(whole).select(*pyramid.nodes.columns))
-
-    kept_points = pyramid.points.join(grown, "series", "left")
-    stay = kept_points.filter(F.col("new_n").isNull() | (F.col("node_id") < last_leaf))
-    stay = stay.withColumn("series_n", F.coalesce("new_n", "series_n")).select(*pyramid.points.columns)
-    return Pyramid(stay.unionByName(placed.select(*pyramid.points.columns)), nodes, spec)
+    fresh = materialize(fresh.select("series", "t", "v", (F.col("pos") + old_n).alias("pos"), "old_n",
+                                     (F.col("series_n") + old_n).alias("series_n")), "appended")
+    grown = fresh.groupBy("series").agg(F.max("old_n").alias("old_n"), F.max("series_n").alias("series_n"))
+
+    def last(j: Column) -> Column:
+        return shape.count(old_n, j) - 1
+
+    old = pyramid.nodes.join(grown, "series")
+    open_leaves = old.filter((level == 0) & (F.col("node_id") >= last(level)))
+    open_from = open_leaves.agg(F.min("min_t")).first()[0]  # one time for the scan to skip what is older
+    placed = fresh.select("series", "t", "v", "pos", "series_n")
+    if open_from is not None:
+        reopened = pyramid.points.filter(F.col("t") >= open_from).join(
+            open_leaves.select("series", "node_id", "series_n"), ["series", "node_id"])
+        placed = placed.unionByName(reopened.select("series", "t", "v", "pos", "series_n"))
+    placed = placed.withColumn("node_id", shape.leaf_of(F.col("pos"), F.col("series_n")))
+
+    final = F.col("node_id") < last(level)
+    under_final = F.coalesce(F.col("parent_id") < last(level + 1), F.lit(False))
+    edge = old.filter(final & ~under_final)
+    columns = ["series", "series_n", "level", "node_id", "min_t", "max_t", *spec.state, "n_points"]
+    parts = (edge.select(*columns, (level + 1).alias("above"))
+             .unionByName(_leaves(placed, spec).withColumn("above", F.lit(0))))
+    changed = edge.select(*columns).unionByName(_levels(parts, spec, shape).select(*columns))
+    return Pyramid(placed.select(*pyramid.points.columns),
+                   _with_parents(changed, shape).select(*pyramid.nodes.columns), spec)
+
+
+def upsert(pyramid: Pyramid, delta: Pyramid) -> Pyramid:
+    """A count-based pyramid with the rows of ``append_delta`` in place of the ones they replace."""
+    nodes = pyramid.nodes.join(delta.nodes, ["series", "level", "node_id"], "left_anti").unionByName(delta.nodes)
+    replaced = delta.points.groupBy("series").agg(F.min("pos").alias("_from"))
+    stay = pyramid.points.join(replaced, "series", "left").filter("_from is null or pos < _from").drop("_from")
+    return Pyramid(stay.unionByName(delta.points), nodes, pyramid.spec)
+
+
+def append_points(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int = LEAF_SIZE,
+                  fanout: int = FANOUT, bits: int = SLAB_BITS) -> Pyramid:
+    """A count-based pyramid with later points added; equals building it from all points at once."""
+    return upsert(pyramid, append_delta(pyramid, points, pos, leaf_size, fanout, bits))
 
 
 def pyramid_stats(nodes: DataFrame) -> DataFrame:

@@ -182,12 +182,11 @@ def nearest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_AT_NODES} SELECT near.series, t, event_id, se.section_id, se.is_leaf, near.series AS label,
-       round(CASE WHEN se.is_leaf THEN se.total ELSE se.total / se.n END, 6) AS value
+       CASE WHEN se.is_leaf THEN se.total ELSE se.total / se.n END AS value
 FROM near JOIN se USING (series, min_t, max_t)""")
 def cursor_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readout as numbers; its text is tested apart."""
-    read = nearest.cursor_readout(_probes(spark, sf_dir), _sections(spark, sf_dir), 900_000)
-    return rounded(read.drop("text"), "value", places=6)
+    return nearest.cursor_readout(_probes(spark, sf_dir), _sections(spark, sf_dir), 900_000).drop("text")
 
 
 @query(f"""WITH {VECTORS}, pr AS (SELECT series, t + 1 AS t FROM ve),
@@ -208,7 +207,7 @@ def cursor_readout_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_AT_NODES}, rd AS (SELECT near.series AS label, t, event_id,
-       round(CASE WHEN se.is_leaf THEN se.total ELSE se.total / se.n END, 6) AS value
+       CASE WHEN se.is_leaf THEN se.total ELSE se.total / se.n END AS value
        FROM near JOIN se USING (series, min_t, max_t))
 SELECT * FROM rd ORDER BY value DESC, label""")
 def value_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,9 +69,9 @@ def view_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_VIEW}, {RUNS} SELECT series, section_id, run_id, (max_t + min_t) // 2 AS t, lo, hi,
-  round(total / n, 6) AS mean FROM ru WHERE NOT is_leaf""")
+  total / n AS mean FROM ru WHERE NOT is_leaf""")
 def band_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(chart.band_table(_runs(spark, sf_dir)), "mean", places=6)
+    return chart.band_table(_runs(spark, sf_dir))
 
 
 @query(f"WITH {_VIEW}, {RUNS} SELECT series, section_id, run_id, min_t AS t, total AS v FROM ru WHERE is_leaf")
