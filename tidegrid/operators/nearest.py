@@ -29,36 +29,38 @@ def nearest_interval_join(probes: DataFrame, intervals: DataFrame, tolerance: Co
     Distinct probe times and intervals are merged into one ordered sequence and scanned in both
     directions, so neither the tolerance nor the length of an interval multiplies rows.
     """
-    fields = ["min_t", "max_t", *keep]
-    found = F.struct(*fields)
-    times = probes.select("series", "t").distinct()
     # the even order of a time is its interval, the odd one its probe: an interval beginning at t comes first
-    begins = intervals.select("series", (F.col("min_t") * 2).alias("_at"), found.alias("_iv"))
-    asks = times.select("series", (F.col("t") * 2 + 1).alias("_at"), F.lit(None).cast(
-        begins.schema["_iv"].dataType).alias("_iv"))
-    scanned = ordered_scan(begins.unionByName(asks), ["series"], "_at",
-                           {"_prev": last_before(F.col("_iv")), "_next": next_after(F.col("_iv"))}, bits)
-    sides = (scanned.filter(F.col("_iv").isNull())
-             .select("series", F.shiftright("_at", 1).alias("t"), "_prev", "_next"))
+    payload = F.struct(*keep) if keep else F.lit(True)
+    begins = intervals.select("series", (F.col("min_t") * 2).alias("_at"), "min_t", "max_t", payload.alias("_iv"))
+    asks = probes.select("series", "t").distinct().select("series", (F.col("t") * 2 + 1).alias("_at"))
+    begin, end = F.col("min_t"), F.col("max_t")
+    carries = {"_b_min": last_before(begin), "_b_max": last_before(end),
+               "_a_min": next_after(begin), "_a_max": next_after(end)}
+    if keep:
+        carries |= {"_b_iv": last_before(F.col("_iv")), "_a_iv": next_after(F.col("_iv"))}
+    scanned = ordered_scan(begins.unionByName(asks, allowMissingColumns=True), ["series"], "_at", carries, bits)
+    sides = scanned.filter(F.col("min_t").isNull()).select("series", F.shiftright("_at", 1).alias("t"), *carries)
 
     limit = tolerance if isinstance(tolerance, Column) else F.lit(tolerance)
     t = F.col("t")
-    before, after = t - F.col("_prev.max_t"), F.col("_next.min_t") - t
-    joined = probes.join(sides, ["series", "t"])
-    joined = joined.withColumns({
+    before, after = t - F.col("_b_max"), F.col("_a_min") - t
+    joined = probes.join(sides, ["series", "t"]).withColumns({
         "_before": F.when(before <= limit, before), "_after": F.when(after <= limit, after)})
     # contained needs no tolerance; otherwise before wins only if strictly closer
-    inside = t <= F.col("_prev.max_t")
+    inside = t <= F.col("_b_max")
     kind = (F.when(inside, "contained")
             .when(F.col("_before") < F.col("_after"), "before")
             .when(F.col("_after").isNotNull(), "after")
             .when(F.col("_before").isNotNull(), "before"))
-    joined = joined.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    chosen = F.when(F.col("kind") == "after", F.col("_next")).otherwise(F.col("_prev"))
+    found = joined.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+
+    def chosen(field: str) -> Column:
+        return F.when(F.col("kind") == "after", F.col(f"_a_{field}")).otherwise(F.col(f"_b_{field}"))
+
     distance = F.when(inside, F.lit(0).cast("long")).when(
         F.col("kind") == "after", F.col("_after")).otherwise(F.col("_before"))
-    joined = joined.withColumns({"_iv": chosen, "distance": distance})
-    return joined.select(*probes.columns, "kind", "distance", *[F.col(f"_iv.{c}").alias(c) for c in fields])
+    return found.select(*probes.columns, "kind", distance.alias("distance"), chosen("min").alias("min_t"),
+                        chosen("max").alias("max_t"), *[chosen("iv")[c].alias(c) for c in keep])
 
 
 def nearest_value(probes: DataFrame, sectioned: DataFrame, tolerance: Column | int,

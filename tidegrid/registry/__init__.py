@@ -28,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Numeric points: the value of every event, a series per event type."""
-    return as_series(table(spark, sf_dir, "events"), "event_type", "ts", "value")
+    return as_series(table(spark, sf_dir, "events"), "event_type", "ts", "value", keep=keep)
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:

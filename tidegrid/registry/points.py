@@ -14,7 +14,7 @@ from tidegrid.registry import (EVENTS, LANGUAGES, ROLES, SHIPMENTS, VECTORS, eve
 from tidegrid.session import new_folder
 from tidegrid.sources import wide_csv
 from tidegrid.sources.store import read_points, write_points
-from tidegrid.sources.tables import as_series
+from tidegrid.sources.tables import as_series, millis
 
 # 2024-01-10 to 2024-01-20
 START, END = 1704844800000, 1705708800000
@@ -36,9 +36,8 @@ def unique_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arriving in an order that goes back in time: blocks of 64 ids reversed."""
-    raw = table(spark, sf_dir, "events")
-    return raw.select(F.col("event_type").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
-                      F.col("value").alias("v"), F.col("event_id").bitwiseXOR(F.lit(63)).alias("pos"))
+    points = events(spark, sf_dir, "event_id")
+    return points.withColumn("pos", F.col("event_id").bitwiseXOR(F.lit(63))).drop("event_id")
 
 
 _SHUFFLED = """sh AS (SELECT event_type AS series, epoch_us(ts) // 1000 AS t, value AS v, xor(event_id, 63) AS pos FROM events),
@@ -60,9 +59,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS} SELECT series, t, v, event_id AS pos FROM ev")
 def require_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events")
-    points = raw.select(F.col("event_type").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
-                        F.col("value").alias("v"), F.col("event_id").alias("pos"))
+    points = events(spark, sf_dir, "event_id").withColumnRenamed("event_id", "pos")
     return pts.require_ordered(points, "pos")
 
 
@@ -201,7 +198,7 @@ def _written_csv(df: DataFrame, name: str) -> str:
 
 def _events_csv(spark: SparkSession, sf_dir: str) -> str:
     raw = table(spark, sf_dir, "events")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = millis(raw, "ts")
     return _written_csv(raw.select((ms.cast("decimal(20,3)") / 1000).cast("decimal(20,3)").alias("time"),
                                    "value", F.col("event_type").alias("type"), F.col("user_id").alias("user"),
                                    F.lit(None).cast("string").alias("unused")), "events-csv")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.registry import EVENTS, query, rounded, table
+from tidegrid.registry import EVENTS, events, query, rounded, table
 from tidegrid.session import new_folder
+from tidegrid.sources.tables import as_series, millis
 from tidegrid.sources.wide_csv import read_layout
 from tidegrid.streaming import append, ingest, windows
 
@@ -18,14 +19,13 @@ _END = "~end"  # a marker series far behind the data lets the watermark pass the
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.select(F.col("event_type").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
-                      F.col("value").alias("v"), F.col("event_id").alias("pos"))
+    return as_series(raw, "event_type", "ts", "value", keep=["event_id"])
 
 
 def _ended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _event_stream(spark, sf_dir).drop("pos")
+    stream = _event_stream(spark, sf_dir).drop("event_id")
     path = new_folder(spark, "end")
-    last = table(spark, sf_dir, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("t"))
+    last = events(spark, sf_dir).agg(F.max("t").alias("t"))
     marker = last.select(F.lit(_END).alias("series"), (F.col("t") + 10 * 86_400_000).alias("t"), F.lit(0.0).alias("v"))
     marker.coalesce(1).write.parquet(path)
     return stream.unionByName(spark.readStream.schema(marker.schema).parquet(path))
@@ -72,7 +72,7 @@ SELECT series, t, v, pos FROM sh QUALIFY coalesce(t > max(t) OVER (PARTITION BY
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)""")
 def stream_drop_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "guard")
-    stream = _event_stream(spark, sf_dir).withColumn("pos", F.col("pos").bitwiseXOR(F.lit(63)))
+    stream = _event_stream(spark, sf_dir).withColumn("pos", F.col("event_id").bitwiseXOR(F.lit(63))).drop("event_id")
     _run_batches(stream, path, ingest.guard_batches(f"{path}/state", ingest.parquet_sink(f"{path}/out"), "pos"))
     return spark.read.parquet(f"{path}/out").drop("batch")
 
@@ -91,8 +91,7 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(f"{path}/in")
     raw = (spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1)
            .parquet(f"{path}/in"))
-    points = raw.select(F.col("event_type").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
-                        F.col("value").alias("v"))
+    points = as_series(raw, "event_type", "ts", "value")
     _run_batches(points, path, append.append_batches(f"{path}/out", "num", 600_000, 16, 4))
     return rounded(append.read_appended(spark, f"{path}/out", "num", 16, 4), "total")
 
@@ -100,7 +99,7 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'value' AS series, CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT) AS t, value AS v FROM events")
 def stream_wide_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = millis(raw, "ts")
     path = new_folder(spark, "csv-stream")
     raw.select((ms.cast("decimal(20,3)") / 1000).cast("decimal(20,3)").alias("time"), "value",
                F.col("event_type").alias("type")).write.option("header", True).csv(f"{path}/in")

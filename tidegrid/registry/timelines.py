@@ -11,6 +11,7 @@ from tidegrid.operators.intervals import merge_intervals as merged
 from tidegrid.operators.scan import split_by
 from tidegrid.registry import (EVENTS, LANGUAGES, ROLES, SHIPMENTS, VECTORS, events, languages, query, roles,
                                rounded, shipments, table, vectors)
+from tidegrid.sources.tables import as_series
 
 HOUR, GAP = 3_600_000, 7_200_000
 
@@ -98,9 +99,8 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 {sections_sql('pt', 'se', 21600000)} SELECT series, min_t, event_id, section_id FROM se""")
 def sections_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many small series: the raw events of every user cut at gaps of six hours."""
-    raw = table(spark, sf_dir, "events")
-    t = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = raw.select(F.col("user_id").cast("string").alias("series"), t.alias("min_t"), t.alias("max_t"), "event_id")
+    points = as_series(table(spark, sf_dir, "events"), "user_id", "ts", "value", keep=["event_id"])
+    rows = points.select("series", F.col("t").alias("min_t"), F.col("t").alias("max_t"), "event_id")
     return sec.section_by_gap(rows, 21_600_000).drop("max_t")
 
 
@@ -156,9 +156,7 @@ def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 {_NEAREST.format(tol=600000)} SELECT * FROM near""")
 def nearest_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event asks for the purchase session it falls in or is next to: one series gets all probes."""
-    raw = table(spark, sf_dir, "events")
-    probes = raw.select(F.lit("purchase").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
-                        "event_id")
+    probes = events(spark, sf_dir, "event_id").select(F.lit("purchase").alias("series"), "t", "event_id")
     return nearest.nearest_interval_join(probes, _bounds(spark, sf_dir), 600_000)
 
 
@@ -166,9 +164,7 @@ _PROBES = "pr AS (SELECT series, t + 1234567 AS t, event_id FROM ev)"
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events")
-    return raw.select(F.col("event_type").alias("series"),
-                      (F.unix_millis(F.col("ts").cast("timestamp")) + 1_234_567).alias("t"), "event_id")
+    return events(spark, sf_dir, "event_id").select("series", (F.col("t") + 1_234_567).alias("t"), "event_id")
 
 
 _AT_NODES = f"""WITH {EVENTS}, {HOURS}, {SECTIONS}, {_PROBES}, iv AS (SELECT series, min_t, max_t FROM se),

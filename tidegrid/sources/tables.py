@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _millis(df: DataFrame, time: str) -> Column:
+def millis(df: DataFrame, time: str) -> Column:
+    """A time column as epoch ms: timestamps without zone are UTC, numbers are taken as they are."""
     kind = df.schema[time].dataType
     if isinstance(kind, T.TimestampType):
         return F.unix_millis(F.col(time))
@@ -20,8 +23,8 @@ def _millis(df: DataFrame, time: str) -> Column:
 
 
 def as_series(df: DataFrame, series: str | Column, time: str, value: str | Column,
-              between: tuple[int, int] | None = None) -> DataFrame:
-    """Points ``(series, t, v)`` from a table; rows without series, time or value are no points.
+              between: tuple[int, int] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Points ``(series, t, v)`` and ``keep`` from a table; rows without series, time or value are no points.
 
     ``between`` (epoch ms, both ends included) is also tested on the time column itself, so that the
     scan skips row groups.
@@ -37,7 +40,7 @@ def as_series(df: DataFrame, series: str | Column, time: str, value: str | Colum
     name = series if isinstance(series, Column) else F.col(series)
     v = value if isinstance(value, Column) else F.col(value)
     return df.filter(name.isNotNull() & F.col(time).isNotNull() & v.isNotNull()).select(
-        name.cast("string").alias("series"), _millis(df, time).alias("t"), v.alias("v"))
+        name.cast("string").alias("series"), millis(df, time).alias("t"), v.alias("v"), *keep)
 
 
 def _literal(ms: int, kind: T.DataType) -> Column:
