@@ -149,6 +149,16 @@ def test_append_equals_building_at_once(spark, points, rows, old, new):
     assert rows(pyr.validate_pyramid(got, 4, 4)) == []
 
 
+@pytest.mark.parametrize("kind, type_, value", [("str", "STRING", lambda i: "a" if i < 25 else "b"),
+                                                ("arr", "ARRAY<DOUBLE>", lambda i: [float(i), 1.0, -1.0])])
+def test_append_of_other_kinds(points, rows, kind, type_, value):
+    both = points([(i, value(i)) for i in range(60)], type_)
+    first = held(pyr.build_pyramid(both.filter("t < 37"), kind, 4, 4))
+    got = pyr.append_points(first, both.filter("t >= 37").withColumn("pos", F.col("t")), "pos", 4, 4)
+    want = pyr.build_pyramid(both, kind, 4, 4)
+    assert rows(got.nodes, *want.nodes.columns) == rows(want.nodes)
+
+
 def test_validate_finds_damage(points, rows):
     p = built(points, 40)
     damaged = [("aggregate", F.col("total") + F.when((F.col("level") == 1) & (F.col("node_id") == 0), 1.0).otherwise(0.0), "total"),

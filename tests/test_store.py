@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import pyramid as pyr
 from tidegrid.session import materialize, new_folder, shared_dir
-from tidegrid.sources.store import read_points, read_pyramid, write_points, write_pyramid
+from tidegrid.sources.store import read_points, read_pyramid, store_pyramid, write_points, write_pyramid
 from tidegrid.sources.tables import as_series
 
 
@@ -17,6 +17,9 @@ def test_round_trip(spark, points, rows):
     assert rows(back.nodes, *built.nodes.columns) == rows(built.nodes)
     assert rows(back.points, *built.points.columns) == rows(built.points)
     assert rows(pyr.validate_pyramid(back, 4, 4)) == []
+    direct = store_pyramid(df, f"{path}/direct", "num", 4, 4)
+    assert rows(direct.nodes, *built.nodes.columns) == rows(built.nodes)
+    assert rows(direct.points, *built.points.columns) == rows(built.points)
 
 
 def test_materialize_keeps_rows_and_schema(spark, points, rows):

@@ -101,10 +101,10 @@ def _with_parent_span(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("parent_span", F.when(F.col("parent_id").isNotNull(), span))
 
 
-def _leaves(placed: DataFrame, spec: AggregateSpec) -> DataFrame:
-    rows = placed.select("series", "series_n", "node_id", F.col("t").alias("min_t"), F.col("t").alias("max_t"),
+def _leaves(placed: DataFrame, spec: AggregateSpec, *keys: str) -> DataFrame:
+    rows = placed.select(*keys, F.col("t").alias("min_t"), F.col("t").alias("max_t"),
                          *spec.lifted(F.col("v")), F.lit(1).cast("long").alias("n_points"))
-    return _counted(rows, spec, "series", "series_n", "node_id").withColumn("level", F.lit(0))
+    return _counted(rows, spec, *keys).withColumn("level", F.lit(0))
 
 
 def _counted(rows: DataFrame, spec: AggregateSpec, *keys: str) -> DataFrame:
@@ -137,10 +137,17 @@ def build_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", leaf_siz
     """The count-based pyramid of points in strictly increasing time."""
     spec, shape = spec_of(kind), CountShape(leaf_size, fanout)
     placed = place_points(points, shape, bits)
-    leaves = _leaves(placed, spec).withColumn("above", F.lit(0))
+    leaves = _leaves(placed, spec, "series", "series_n", "node_id").withColumn("above", F.lit(0))
     return Pyramid(placed.drop("series_n"), _with_parents(_levels(leaves, spec, shape), shape), spec)
 
 
+def nodes_of_placed(points: DataFrame, spec: AggregateSpec, shape: CountShape) -> DataFrame:
+    """Nodes of all levels from stored points that carry their ``node_id``; no positions are computed again."""
+    lengths = points.groupBy("series").agg(F.count(F.lit(1)).alias("series_n"))
+    leaves = _leaves(points, spec, "series", "node_id").join(lengths, "series").withColumn("above", F.lit(0))
+    return _with_parents(_levels(leaves, spec, shape), shape)
+
+
 def build_time_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", base_ms: int = 60_000,
                        fanout: int = FANOUT, levels: int = 5) -> Pyramid:
     """The pyramid on a time grid: level j has nodes of ``base_ms * fanout**j`` ms.
@@ -217,7 +224,7 @@ def append_delta(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int =
     edge = old.filter(final & ~under_final)
     columns = ["series", "series_n", "level", "node_id", "min_t", "max_t", *spec.state, "n_points"]
     parts = (edge.select(*columns, (level + 1).alias("above"))
-             .unionByName(_leaves(placed, spec).withColumn("above", F.lit(0))))
+             .unionByName(_leaves(placed, spec, "series", "series_n", "node_id").withColumn("above", F.lit(0))))
     changed = edge.select(*columns).unionByName(_levels(parts, spec, shape).select(*columns))
     return Pyramid(placed.select(*pyramid.points.columns),
                    _with_parents(changed, shape).select(*pyramid.nodes.columns), spec)

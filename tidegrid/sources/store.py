@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.model import AggregateSpec, spec_of
-from tidegrid.operators.pyramid import Pyramid
+from tidegrid.operators.pyramid import FANOUT, LEAF_SIZE, CountShape, Pyramid, nodes_of_placed, place_points
 
 
 def write_points(points: DataFrame, path: str, files: int | None = None) -> None:
@@ -23,13 +23,32 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _write_nodes(nodes: DataFrame, path: str) -> None:
+    """Nodes split by level and sorted by series and time."""
+    by = ["level", "series", "min_t"]
+    (nodes.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite")
+     .partitionBy("level").parquet(f"{path}/nodes"))
+
+
 def write_pyramid(pyramid: Pyramid, path: str) -> None:
-    """Write points and nodes; nodes are split by level and sorted by series and time."""
+    """Write points and nodes of any pyramid."""
     write_points(pyramid.points, f"{path}/points")
-    (pyramid.nodes.repartitionByRange("level", "series", "min_t").sortWithinPartitions("level", "series", "min_t")
-     .write.mode("overwrite").partitionBy("level").parquet(f"{path}/nodes"))
+    _write_nodes(pyramid.nodes, path)
 
 
 def read_pyramid(spark: SparkSession, path: str, kind: str | AggregateSpec = "num") -> Pyramid:
     nodes = spark.read.parquet(f"{path}/nodes").withColumn("level", F.col("level").cast("int"))
     return Pyramid(spark.read.parquet(f"{path}/points"), nodes, spec_of(kind))
+
+
+def store_pyramid(points: DataFrame, path: str, kind: str | AggregateSpec = "num", leaf_size: int = LEAF_SIZE,
+                  fanout: int = FANOUT) -> Pyramid:
+    """Build the count-based pyramid of points into ``path`` and read it back.
+
+    The points are placed and written first and the nodes come from what was written, so that the
+    input is scanned and ordered once.
+    """
+    spark, spec, shape = points.sparkSession, spec_of(kind), CountShape(leaf_size, fanout)
+    write_points(place_points(points, shape).drop("series_n"), f"{path}/points")
+    _write_nodes(nodes_of_placed(read_points(spark, f"{path}/points"), spec, shape), path)
+    return read_pyramid(spark, path, spec)
