@@ -84,6 +84,17 @@ def test_range_query(spark, points, rows, start, end, expected):
     ranges = spark.createDataFrame([("s", start, end, 50), ("other", 0, 1, 1)],
                                    "series STRING, start BIGINT, end BIGINT, resolution BIGINT")
     assert rows(lod.query_lod(p, ranges=ranges), *columns) == sorted(expected)
+    assert rows(lod.query_lod(p, start, end, 50, look_ahead=True), *columns) == sorted(expected)
+    assert rows(lod.query_lod(p, ranges=ranges, look_ahead=True), *columns) == sorted(expected)
+
+
+def test_look_ahead_leaves_the_points_alone(points, rows, monkeypatch):
+    p = held(pyr.build_pyramid(points(PAIRS), "num", 4, 4))
+    coarse = lod.query_lod(p, 0, 200, 1000, look_ahead=True)
+    assert coarse._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert rows(coarse) == rows(lod.query_lod(p, 0, 200, 1000))
+    monkeypatch.setattr(lod, "FEW_LEAVES", 0)  # too many to broadcast
+    assert rows(lod.query_lod(p, 0, 200, 3, look_ahead=True)) == rows(lod.query_lod(p, 0, 200, 3))
 
 
 def test_range_query_depth(points, rows):

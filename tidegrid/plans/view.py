@@ -49,8 +49,8 @@ def choose(pyramid: Pyramid, series: Sequence[str]) -> Pyramid:
 
 
 def view(pyramid: Pyramid, port: Viewport) -> DataFrame:
-    """Sectioned rows of every series for one shared time range."""
-    rows = query_lod(pyramid, port.start, port.end, port.resolution)
+    """Sectioned rows of every series for one shared time range, from a stored pyramid."""
+    rows = query_lod(pyramid, port.start, port.end, port.resolution, look_ahead=True)
     return _cut(resample(rows, port.resolution, pyramid.spec), port.width_px, port.gap_ms)
 
 
@@ -58,7 +58,7 @@ def view_ranges(pyramid: Pyramid, ranges: DataFrame, width_px: int, gap_ms: int
     """``view`` with a range per series, from ``ranges (series, start, end)``."""
     ranges = ranges.select("series", "start", "end",
                            min_resolution(F.col("start"), F.col("end"), width_px).alias("resolution"))
-    rows = query_lod(pyramid, ranges=ranges)
+    rows = query_lod(pyramid, ranges=ranges, look_ahead=True)
     resampled = resample(rows, F.col("resolution"), pyramid.spec, ["series", "resolution"])
     return _cut(resampled.drop("resolution"), width_px, gap_ms)
 
@@ -81,7 +81,7 @@ class Stage:
 
 def timed_view(pyramid: Pyramid, port: Viewport) -> tuple[DataFrame, list[Stage]]:
     """Run ``view`` stage by stage, each written to the shared folder, with row counts and times."""
-    steps = {"range": lambda _: query_lod(pyramid, port.start, port.end, port.resolution),
+    steps = {"range": lambda _: query_lod(pyramid, port.start, port.end, port.resolution, look_ahead=True),
              "resample": lambda rows: resample(rows, port.resolution, pyramid.spec),
              "section": lambda rows: _cut(rows, port.width_px, port.gap_ms)}
     rows, stages = None, []
