@@ -20,8 +20,10 @@ from tidegrid.operators.aggregates import catalog
 from tidegrid.operators.points import concat_points, mark_backward, require_ordered
 from tidegrid.session import materialize
 
+# Rows that decide the kinds, and the least columns that form an array
 SAMPLE_ROWS = 16
 ARRAY_MIN_LEN = 4
+FEW_LENGTHS = 10_000
 
 
 @dataclass(frozen=True)
@@ -184,12 +186,13 @@ def melt_string(rows: DataFrame, layout: Layout) -> DataFrame | None:
     return melt_kind(rows, layout, "str")
 
 
-def zip_arrays(rows: DataFrame, layout: Layout, strict: bool = True) -> DataFrame | None:
+def zip_arrays(rows: DataFrame, layout: Layout, strict: bool = True, few: bool = False) -> DataFrame | None:
     """Points of all array series; None if there are none.
 
     Rows of one time fill the array together, the first non-empty cell of an element counting. An array
     ends at its first missing element, and only arrays of the greatest length a series reaches in its
-    file stay. A time before an earlier one fails the query if ``strict``.
+    file stay. A time before an earlier one fails the query if ``strict``. ``few`` says that files times
+    array series are at most ``FEW_LENGTHS``, so that their lengths can be broadcast.
     """
     arrays = layout.arrays
     if not arrays:
@@ -214,7 +217,7 @@ def zip_arrays(rows: DataFrame, layout: Layout, strict: bool = True) -> DataFram
     cut = zipped.withColumn("_len", length).filter("_len > 0").withColumn(
         "v", F.slice("v", F.lit(1), F.col("_len").cast("int")))
     longest = cut.groupBy("file", "series").agg(F.max("_len").alias("_longest"))
-    full = cut.join(longest, ["file", "series"]).filter("_len = _longest")
+    full = cut.join(F.broadcast(longest) if few else longest, ["file", "series"]).filter("_len = _longest")
     return full.select("series", "t", "v", "file", "pos")
 
 
@@ -235,8 +238,8 @@ def load_all(spark: SparkSession, paths: Iterable[str], strict: bool = True,
     """Load wide CSV files into one catalog; other file names are refused, and a series name met again in
     a later path replaces the earlier one.
 
-    Files of one layout are read by one scan. The melted points are written to the shared folder,
-    so that the text is parsed once.
+    Files of one layout are read by one scan. The cells that are needed are written to the shared folder
+    first, so that the text is parsed once, and then the melted points.
     """
     paths = list(paths)
     if refused := [p for p in paths if not p.endswith(".csv")]:
@@ -253,7 +256,11 @@ def load_all(spark: SparkSession, paths: Iterable[str], strict: bool = True,
     melted: dict[str, list[DataFrame]] = {}
     for layout, group in groups.items():
         rows = read_wide_csv(spark, group, layout.header, multi_line)
-        parts = {"num": melt_numeric(rows, layout, strict), "arr": zip_arrays(rows, layout, strict),
+        used = [0, *layout.columns("num").values(), *layout.columns("str").values(),
+                *(at for members in layout.arrays.values() for at in members)]
+        rows = materialize(rows.select(*[f"c{at}" for at in sorted(set(used))], "file", "pos"), "cells")
+        parts = {"num": melt_numeric(rows, layout, strict),
+                 "arr": zip_arrays(rows, layout, strict, len(group) * len(layout.arrays) <= FEW_LENGTHS),
                  "str": melt_string(rows, layout)}
         for kind, part in parts.items():
             if part is not None:
