@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tidegrid.llm.byte_bpe import op9_byte_bpe
 from tidegrid.llm.token_count import op6_token_count
 
-QUERIES = {f.__name__: f for f in (op6_token_count,)}
+QUERIES = {f.__name__: f for f in (op6_token_count, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}
