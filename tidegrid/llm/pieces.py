@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import sentencepiece
@@ -16,7 +18,7 @@ import sentencepiece
 #: Parts longer than this are cut again between characters that never meet inside a piece.
 LONG = 1 << 12
 #: Distinct parts remembered by a worker.
-KEPT = 1 << 18
+KEPT = 1 << 19
 #: Characters encoded by one call.
 CALL = 1 << 20
 #: A protocol buffer field appended to a model replaces the earlier one: here add_dummy_prefix = false.
@@ -39,7 +41,8 @@ class Pieces:
         self.pairs = {p[j:j + 2] for p in normal for j in range(len(p) - 1)}
         if any(b == _SPACE and a != _SPACE for a, b in self.pairs) or whole.encode("a") != self.plain.encode(" a"):
             raise ValueError("this vocabulary has pieces across words, or does not put a space before a text")
-        self.known: dict[str, np.ndarray] = {}
+        self.code = "H" if len(self.pieces) <= 1 << 16 else "I"
+        self.known: dict[str, bytes] = {}
 
     def parts(self, text: str) -> list[str]:
         """The text with a space before it, cut before every run of spaces."""
@@ -63,33 +66,27 @@ class Pieces:
     def learn(self, parts: set[str]) -> None:
         """Encode the parts not known yet, in calls of about equal size."""
         if len(self.known) > KEPT:
-            self.known.clear()
-        new = [p for p in parts if p not in self.known]
-        cuts = [self.cut(p) if len(p) > LONG else [" " + p] for p in new]
-        flat = [c for cs in cuts for c in cs]
+            self.known = {}
+        new = list(parts - self.known.keys())
+        cuts = {i: self.cut(p) for i, p in enumerate(new) if len(p) > LONG}
+        flat = [" " + p for p in new]
+        for i in sorted(cuts, reverse=True):
+            flat[i:i + 1] = cuts[i]
         ids: list[list[int]] = []
-        begin, size = 0, 0
-        for i, c in enumerate(flat):
-            size += len(c)
-            if size >= CALL or i + 1 == len(flat):
-                ids += self.plain.encode(flat[begin:i + 1], num_threads=1)
-                begin, size = i + 1, 0
-        at = 0
-        for p, cs in zip(new, cuts, strict=True):
-            own = ids[at] if len(cs) == 1 else [x for i in ids[at:at + len(cs)] for x in i]
-            self.known[p] = np.array(own, np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32).tobytes()
-            at += len(cs)
+        for begin, end in by_bytes(map(len, flat), CALL, len(flat)):
+            ids += self.plain.encode(flat[begin:end], num_threads=1)
+        for i in sorted(cuts):
+            ids[i:i + len(cuts[i])] = [[x for part in ids[i:i + len(cuts[i])] for x in part]]
+        code = self.code
+        self.known |= {p: array(code, own).tobytes() for p, own in zip(new, ids, strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [self.parts(t or "") for t in texts]
-        wanted = set().union(*split) if split else set()
-        self.learn(wanted)
-        if not wanted <= self.known.keys():
-            self.learn(wanted)
-        kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32
+        if split:
+            self.learn(set().union(*split))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), kind) for s in split]
+        return [np.frombuffer(b"".join(map(get, s)), self.code) for s in split]
 
     def lengths(self, texts: list[str | None]) -> list[int]:
         return [len(x) for x in self.encode(texts)]
@@ -101,13 +98,13 @@ def pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def by_bytes(sizes, limit: int):
-    """Consecutive rows whose sizes add up to about ``limit``: first and end of each."""
+def by_bytes(sizes: Iterable[int], limit: int, count: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows, ``count`` in all, whose sizes add up to about ``limit``: first and end of each batch."""
     begin, total = 0, 0
     for i, n in enumerate(sizes):
         total += n
         if total >= limit:
             yield begin, i + 1
             begin, total = i + 1, 0
-    if begin < len(sizes):
-        yield begin, len(sizes)
+    if begin < count:
+        yield begin, count

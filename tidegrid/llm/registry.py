@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tidegrid.llm.byte_bpe import op9_byte_bpe
+from tidegrid.llm.quality_rules import op8_quality_rules
 from tidegrid.llm.token_count import op6_token_count
 
-QUERIES = {f.__name__: f for f in (op6_token_count, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op6_token_count, op8_quality_rules, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}

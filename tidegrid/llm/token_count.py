@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096) -> DataFrame:
         for batch in batches:
             sizes = np.diff(text_bytes(batch.column("text"))[1])
             n = []
-            for begin, end in by_bytes(sizes, BATCH):
+            for begin, end in by_bytes(sizes, BATCH, len(sizes)):
                 n += encoder.lengths(batch.column("text")[begin:end].to_pylist())
             n = np.array(n, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(n), pa.array(n > limit)],
