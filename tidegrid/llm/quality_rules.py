@@ -45,11 +45,11 @@ class Band:
 
 
 #: Prose of a script that the vocabulary knows, and of one it mostly spells out.
-KNOWN = Band((1.5, 8.0), 0.15, (0.62, 1.0))
+KNOWN = Band((1.75, 8.0), 0.15, (0.66, 1.0))
 SPELT = Band((0.3, 8.0), 1.0, (0.4, 1.0))
 BANDS: Mapping[str, Band] = {"latin": KNOWN, "cyrillic": Band((1.2, 8.0), 0.15, (0.55, 1.0))}
 #: Texts of fewer tokens say too little about themselves; only the counts judge them.
-FEWEST = 30
+FEWEST = 100
 VOCABULARY = 512
 ROWS = 128
 
