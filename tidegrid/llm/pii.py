@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.llm.workers import map_batches
+
 ROUNDS = 8
 DEMO_KEY = b"tidegrid pseudonyms"  # a run that matters brings its own
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -254,7 +256,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(rewrite, docs.schema)
+    return map_batches(docs, rewrite, docs.schema)
 
 
 KINDS = ("mail", "phone", "card", "social", "address", "date", "iban", "secret")
@@ -272,8 +274,7 @@ def pseudonym_report(docs: DataFrame, key: bytes) -> DataFrame:
                  *(pa.array([c.get(k, 0) for _, c in found], pa.int64()) for k in KINDS)],
                 ["doc_id", "text", "n_replaced", *(f"n_{k}" for k in KINDS)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        rewrite, "doc_id long, text string, n_replaced long, " + ", ".join(f"n_{k} long" for k in KINDS))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rewrite, "doc_id long, text string, n_replaced long, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.arrays import U, Words, blocks, mix
 from tidegrid.llm.pieces import pieces
 from tidegrid.llm.token_count import read_model
+from tidegrid.llm.workers import map_batches
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -145,7 +146,7 @@ def quality_rules(docs: DataFrame, model: bytes, bands: Mapping[str, Band] = BAN
                 found = judge(batch.column("text"), model, bands)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[k]) for k in names[1:])], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, METRICS)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), measure, METRICS)
 
 
 def keep_good(docs: DataFrame, model: bytes, text: str = "text", bands: Mapping[str, Band] = BANDS) -> DataFrame:
@@ -157,7 +158,7 @@ def keep_good(docs: DataFrame, model: bytes, text: str = "text", bands: Mapping[
             if len(batch):
                 yield batch.filter(pa.array(judge(batch.column(at), model, bands)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,10 +45,12 @@ def deal(slots: Sequence[tuple[int, int, int]], shards: int) -> dict[int, int]:
     return owner
 
 
-def rebalance(slots: Sequence[tuple[int, int, int]], owner: dict[int, int], shards: int) -> dict[int, int]:
-    """``owner`` for ``shards`` shards, at least as many as before; slots only move from a shard over the mean to one under it.
+def rebalance(slots: Sequence[tuple[int, int, int]], owner: dict[int, int], shards: int,
+              tolerance: float = 0.01) -> dict[int, int]:
+    """``owner`` for ``shards`` shards, at least as many as before, moving few slots.
 
-    New shards fill up from the fullest ones. No move makes its target larger than its source was.
+    While some shard is further from the mean than ``tolerance`` of it, a slot goes from the fullest shard to the emptiest;
+    no move makes its target as large as its source was. So a new shard fills up from the others and nothing else moves.
     """
     size = {s: b for s, _, b in slots}
     owner = {s: owner.get(s, -1) for s in size}
@@ -58,7 +60,8 @@ def rebalance(slots: Sequence[tuple[int, int, int]], owner: dict[int, int], shar
             k = owner[s] = min(range(shards), key=lambda j: (load[j], j))
         load[k] += size[s]
         held[k].append(s)
-    for _ in range(len(size)):
+    mean = sum(load) / shards
+    while any(abs(n - mean) > tolerance * mean for n in load):
         low = min(range(shards), key=lambda k: (load[k], k))
         high = max(range(shards), key=lambda k: (load[k], -k))
         fitting = [s for s in held[high] if load[low] + size[s] < load[high]]
