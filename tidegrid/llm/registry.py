@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tidegrid.llm.byte_bpe import op9_byte_bpe
 from tidegrid.llm.classifier import op7_quality_classifier
+from tidegrid.llm.decontamination import op3_decontamination
 from tidegrid.llm.pii import op4_pii
 from tidegrid.llm.quality_rules import op8_quality_rules
 from tidegrid.llm.sharding import op2_sharding
 from tidegrid.llm.token_count import op6_token_count
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_pii, op6_token_count, op7_quality_classifier, op8_quality_rules, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op2_sharding, op3_decontamination, op4_pii, op6_token_count, op7_quality_classifier, op8_quality_rules, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}
