@@ -8,8 +8,11 @@ from tidegrid.llm.decontamination import op3_decontamination
 from tidegrid.llm.pii import op4_pii
 from tidegrid.llm.quality_rules import op8_quality_rules
 from tidegrid.llm.sharding import op2_sharding
+from tidegrid.llm.suffix_dedup import op1_suffix_dedup
 from tidegrid.llm.token_count import op6_token_count
+from tidegrid.llm.window_dedup import op5_window_dedup
 
 QUERIES = {f.__name__: f for f in (
-    op2_sharding, op3_decontamination, op4_pii, op6_token_count, op7_quality_classifier, op8_quality_rules, op9_byte_bpe)}
+    op1_suffix_dedup, op2_sharding, op3_decontamination, op4_pii, op5_window_dedup, op6_token_count,
+    op7_quality_classifier, op8_quality_rules, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}
