@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidegrid.llm.byte_bpe import op9_byte_bpe
 from tidegrid.llm.classifier import op7_quality_classifier
 from tidegrid.llm.decontamination import op3_decontamination
+from tidegrid.llm.jaccard_join import op10_jaccard_join
 from tidegrid.llm.pii import op4_pii
 from tidegrid.llm.quality_rules import op8_quality_rules
 from tidegrid.llm.sharding import op2_sharding
@@ -14,5 +15,5 @@ from tidegrid.llm.window_dedup import op5_window_dedup
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_sharding, op3_decontamination, op4_pii, op5_window_dedup, op6_token_count,
-    op7_quality_classifier, op8_quality_rules, op9_byte_bpe)}
+    op7_quality_classifier, op8_quality_rules, op9_byte_bpe, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
