@@ -7,6 +7,7 @@ by their check digit, IBANs by theirs, dates by the calendar, addresses by their
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -209,36 +210,58 @@ _WORDS = re.compile(r"(?i)passw|pwd|secret|token|api.?key")
 
 
 def replace(text: str, names: Pseudonyms) -> tuple[str, dict[str, int]]:
-    """The text with pseudonyms, and how many values of each kind were replaced."""
-    counts: dict[str, int] = {}
+    """The text with pseudonyms, and how many values of each kind were replaced. No value is looked at twice."""
+    taken: list[tuple[int, int, str, str]] = []
 
-    def done(kind: str, new: str) -> str:
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
+    def take(kind: str, span: tuple[int, int], new: str | None) -> None:
+        i = bisect.bisect(taken, (*span, "", ""))
+        free = (i == 0 or taken[i - 1][1] <= span[0]) and (i == len(taken) or span[1] <= taken[i][0])
+        if new is not None and free:
+            taken.insert(i, (*span, kind, new))
 
     if "AKIA" in text or "ASIA" in text:
-        text = ACCESS_KEY.sub(lambda m: done("secret", m[1] + names.secret(m[2])), text)
+        for m in ACCESS_KEY.finditer(text):
+            take("secret", m.span(2), names.secret(m[2]))
     if ("=" in text or ":" in text) and _WORDS.search(text):
-        text = ASSIGNED.sub(lambda m: done("secret", m[1] + names.secret(m[2])), text)
+        for m in ASSIGNED.finditer(text):
+            take("secret", m.span(2), names.secret(m[2]))
     if "@" in text:
-        text = MAIL.sub(lambda m: done("mail", names.mail(m[0])), text)
-    if _NUMBER.search(text) is None and not any(c in text for c in "0123456789"):
-        return text, counts
-    text = IBAN.sub(lambda m: done("iban", new) if (new := names.iban(m[0])) else m[0], text)
+        for m in MAIL.finditer(text):
+            take("mail", m.span(), names.mail(m[0]))
+    numbers = _NUMBER.search(text) is not None
+    if numbers:
+        for m in IBAN.finditer(text):
+            take("iban", m.span(), names.iban(m[0]))
+    if numbers:
+        taken = _with_numbers(text, taken, names)
+    counts: dict[str, int] = {}
     out, copied = [], 0
+    for begin, end, kind, new in taken:
+        counts[kind] = counts.get(kind, 0) + 1
+        out += [text[copied:begin], new]
+        copied = end
+    return "".join([*out, text[copied:]]), counts
+
+
+def _with_numbers(text: str, taken: list[tuple[int, int, str, str]], names: Pseudonyms) -> list[tuple[int, int, str, str]]:
+    """Spans in order, with those of valid numbers between them."""
+    out: list[tuple[int, int, str, str]] = []
+    after, next_, done = [*taken, (len(text) + 1, 0, "", "")], 0, 0
     for at in _NUMBER.finditer(text):
         begin = at.start()
-        if begin < copied:
+        while after[next_][0] <= begin:
+            out.append(after[next_])
+            done, next_ = after[next_][1], next_ + 1
+        if begin < done:
             continue
         for kind, pattern in NUMBERS:
-            m = pattern.match(text, begin)
-            if m is None and kind != "phone":  # a sign before the number may only belong to a phone number
-                m = pattern.match(text, at.end() - 1)
-            if m and (new := getattr(names, kind)(m[0])):
-                out += [text[copied:m.start()], done(kind, new)]
-                copied = m.end()
+            # a sign before the number need not belong to it
+            m = pattern.match(text, begin) or pattern.match(text, at.end() - 1)
+            if m and m.end() <= after[next_][0] and (new := getattr(names, kind)(m[0])):
+                out.append((*m.span(), kind, new))
+                done = m.end()
                 break
-    return "".join([*out, text[copied:]]), counts
+    return out + after[next_:-1]
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

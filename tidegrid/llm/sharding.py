@@ -49,9 +49,11 @@ def rebalance(slots: Sequence[tuple[int, int, int]], owner: dict[int, int], shar
               tolerance: float = 0.01) -> dict[int, int]:
     """``owner`` for ``shards`` shards, at least as many as before, moving few slots.
 
-    While some shard is further from the mean than ``tolerance`` of it, a slot goes from the fullest shard to the emptiest;
-    no move makes its target as large as its source was. So a new shard fills up from the others and nothing else moves.
+    New shards, if there are any, take slots from the fullest shards until they hold the mean but for ``tolerance`` of it,
+    and nothing else moves. Else the emptiest shard takes them, while some shard is further from the mean than that. No move
+    makes its target as large as its source was.
     """
+    fresh = sorted(set(range(shards)) - set(owner.values()))
     size = {s: b for s, _, b in slots}
     owner = {s: owner.get(s, -1) for s in size}
     load, held = [0] * shards, [[] for _ in range(shards)]
@@ -61,8 +63,9 @@ def rebalance(slots: Sequence[tuple[int, int, int]], owner: dict[int, int], shar
         load[k] += size[s]
         held[k].append(s)
     mean = sum(load) / shards
-    while any(abs(n - mean) > tolerance * mean for n in load):
-        low = min(range(shards), key=lambda k: (load[k], k))
+    while (any(load[k] < (1 - tolerance) * mean for k in fresh) if fresh else
+           any(abs(n - mean) > tolerance * mean for n in load)):
+        low = min(fresh or range(shards), key=lambda k: (load[k], k))
         high = max(range(shards), key=lambda k: (load[k], -k))
         fitting = [s for s in held[high] if load[low] + size[s] < load[high]]
         if not fitting:
