@@ -41,14 +41,14 @@ def chunks(spark, values, rule, needs=("x",), bits=2, prepare=lambda df: df):
 
 @pytest.mark.parametrize("bits", [1, 2, 20])
 def test_split_examples(spark, bits):
-    values = [0, 1, 2, 3]
-    assert chunks(spark, values, lambda p, c: F.lit(False), bits=bits) == [[0, 1, 2, 3]]
-    assert chunks(spark, values, lambda p, c: c["x"] == 3, bits=bits) == [[0, 1, 2], [3]]
-    assert chunks(spark, values, lambda p, c: c["x"].isin(1, 3), bits=bits) == [[0], [1, 2], [3]]
-    assert chunks(spark, values, lambda p, c: F.lit(True), bits=bits) == [[0], [1], [2], [3]]
+    values = [7, 4, 4, 9, 6]
+    assert chunks(spark, values, lambda p, c: F.lit(False), bits=bits) == [[7, 4, 4, 9, 6]]
+    assert chunks(spark, values, lambda p, c: c["x"] == 9, bits=bits) == [[7, 4, 4], [9, 6]]
+    assert chunks(spark, values, lambda p, c: c["x"].isin(4, 6), bits=bits) == [[7], [4], [4, 9], [6]]
+    assert chunks(spark, values, lambda p, c: F.lit(True), bits=bits) == [[7], [4], [4], [9], [6]]
     # state carried from row to row: a running count
     counted = lambda df: ordered_scan(df, ["series"], "o", {"k": total_before(F.lit(1).cast("long"))}, bits)
-    assert chunks(spark, values, lambda p, c: c["k"] == 1, ("k",), bits, counted) == [[0], [1, 2, 3]]
+    assert chunks(spark, values, lambda p, c: c["k"] == 1, ("k",), bits, counted) == [[7], [4, 4, 9, 6]]
 
 
 def test_split_of_nothing(spark):

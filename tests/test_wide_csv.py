@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidegrid.model import KINDS, AggregateSpec, register_kind
 from tidegrid.sources import wide_csv as wc
 
 
@@ -138,6 +140,63 @@ def test_order_of_a_file_read_in_many_splits(spark, tmp_path, rows):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_folder_of_part_files_keeps_every_point(spark, tmp_path, rows):
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"part-{k}.csv").write_text("time,x\n" + "".join(f"{100 * k + i},{i}\n" for i in range(100)))
+    got = load(spark, str(folder))
+    assert rows(got.catalog, "n_submitted", "n_points") == [(200, 200)]
+    (folder / "part-2.csv").write_text("x,time\n1,2\n")
+    with pytest.raises(ValueError, match="other columns"):
+        load(spark, str(folder))
+
+
+def test_jobs_do_not_grow_with_the_files(spark, write, rows):
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(n):
+        paths = [write(f"time,x{i} 1,{i} 2,{i}", f"n{n}-{i}.csv") for i in range(n)]
+        same = [write("time,x,y 1,1,2 2,3,4", f"same{n}-{i}.csv") for i in range(n)]
+        spark.sparkContext.setJobGroup(f"load-{n}", "")
+        got = load(spark, *same)
+        assert rows(got.points("num"), "series", "t") == [("x", 1000), ("x", 2000), ("y", 1000), ("y", 2000)]
+        return len(tracker.getJobIdsForGroup(f"load-{n}")), paths
+    few, many = jobs(2)[0], jobs(7)[0]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert many <= few
+
+
+def test_sample_reads_the_head_only(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("time,x,s\n" + "1,2,a\n" * 200_000)
+    head = wc.read_head(spark, str(path), 17, first_bytes=64)
+    assert len(head) == 17 and head[:2] == [["time", "x", "s"], ["1", "2", "a"]]
+    quoted = tmp_path / "quoted.csv"
+    quoted.write_text('time,"a ""b"", c"\n1,"x\ny"\n')
+    assert wc.read_head(spark, str(quoted), 17, first_bytes=4) == [["time", 'a "b", c'], ["1", "x\ny"]]
+
+
+def test_unreadable_cells_fail_under_a_count_too(spark, write):
+    layout = wc.Layout(("time", "x"), ("num",))
+    for text in ("time,x 1,2 2,no", "time,x 1,2 soon,3"):
+        read = wc.read_wide_csv(spark, write(text), layout.header)
+        with pytest.raises(Exception, match="cannot read"):
+            wc.melt_numeric(read, layout).count()
+
+
+def test_user_kind_reads_a_column(spark, write, rows):
+    flag = AggregateSpec("flag", lambda v: {"n": F.lit(1).cast("long"), "on": v}, {"n": F.sum, "on": F.max},
+                         parse=lambda c: F.when(c == "on", 1).when(c == "off", 0))
+    register_kind(flag)
+    try:
+        got = load(spark, write("time,s,x 1,on,5 2,off,6"), kinds={"s": "flag"})
+        assert rows(got.points("flag")) == [("s", 1000, 1), ("s", 2000, 0)]
+        assert rows(got.catalog, "series", "kind") == [("s", "flag"), ("x", "num")]
+    finally:
+        KINDS.pop("flag")
+
+
 def test_headers():
     layout = wc.Layout(("time", "a0", "a1", "a2", "a3", "a1", "b"), ("num",) * 5 + (None,))
     assert layout.arrays == {"a": [1, 2, 3, 4]} and layout.columns("num") == {}

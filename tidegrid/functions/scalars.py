@@ -15,9 +15,17 @@ def is_empty(cell: Column) -> Column:
     return F.coalesce(cell, F.lit("")) == ""
 
 
+def holds(ok: Column, message: Column) -> Column:
+    """A condition for ``filter``: true, or a failing query where ``ok`` is not true.
+
+    As a filter it stays in the plan whichever columns are read later, also under a count.
+    """
+    return F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def parsed_or_fail(cell: Column, parsed: Column, what: str) -> Column:
-    """``parsed``, or a failing query where it is null."""
-    return F.coalesce(parsed, F.raise_error(F.concat(F.lit(f"cannot read {what}: "), F.coalesce(cell, F.lit("")))))
+    """A condition for ``filter``: ``parsed`` is there, or the query fails."""
+    return holds(parsed.isNotNull(), F.concat(F.lit(f"cannot read {what}: "), F.coalesce(cell, F.lit(""))))
 
 
 def to_epoch_ms(seconds: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalars import holds
 from tidegrid.model import AggregateSpec, spec_of
 from tidegrid.operators.scan import SLAB_BITS, max_before, ordered_scan, total_all, total_before
 
@@ -38,8 +39,7 @@ def require_ordered(points: DataFrame, pos: str, keys: Sequence[str] = ("series"
     back = F.col("t") <= F.col("_seen") if strict else F.col("t") < F.col("_seen")
     message = F.concat(F.lit("data jumped back in time in "), F.concat_ws("/", *keys),
                        F.lit(" at "), F.col("t").cast("string"))
-    checked = F.when(back, F.raise_error(message).cast("long")).otherwise(F.col("t"))
-    return scanned.select(*[checked.alias("t") if c == "t" else F.col(c) for c in points.columns])
+    return scanned.filter(holds(~F.coalesce(back, F.lit(False)), message)).select(*points.columns)
 
 
 def unique_times(points: DataFrame, kind: str | AggregateSpec = "num") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import best_scale, context_scale, finer_scale
+from tidegrid.functions.scalars import holds
 from tidegrid.model import idiv
 
 TICK_PX = 64  # at most one tick per this many pixels
@@ -78,6 +79,5 @@ def overlay(catalog: DataFrame, series: Sequence[str], strict: bool = True) -> D
     chosen = chosen.withColumn("accepted", F.col("kind") == F.first("kind").over(named))
     if strict:
         message = F.concat(F.lit("cannot overlay a series of kind "), F.col("kind"), F.lit(": "), F.col("series"))
-        chosen = chosen.withColumn("accepted", F.when(F.col("accepted"), True).otherwise(
-            F.raise_error(message).cast("boolean")))
+        chosen = chosen.filter(holds(F.col("accepted"), message))
     return chosen.drop("_place")

@@ -224,13 +224,29 @@ def melt_string(spark: SparkSession, sf_dir: str) -> DataFrame:
        unnest(embedding::DOUBLE[]) AS v FROM embeddings""")
 def zip_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "embeddings")
+    width = raw.agg(F.max(F.size("embedding"))).first()[0]
     path = _written_csv(raw.select(F.col("vec_id").alias("time"), *[
-        F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)]), "vectors-csv")
+        F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)]), "vectors-csv")
     layout = wide_csv.read_layout(spark, path)
     arrays = wide_csv.zip_arrays(wide_csv.read_wide_csv(spark, path, layout.header), layout)
     return arrays.select("series", "t", F.posexplode("v").alias("line", "v"))
 
 
+@query("""WITH k AS (SELECT *, coalesce(t > max(t) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+  AS kept FROM (SELECT *, xor(event_id, 15) AS pos, CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT) AS t FROM events))
+SELECT 'value' AS series, t, value AS v FROM k WHERE kept
+UNION ALL SELECT 'user', t, CAST(user_id AS DOUBLE) FROM k WHERE kept""")
+def load_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of part files, some points out of order; the parts follow each other by name."""
+    raw = table(spark, sf_dir, "events").withColumn("pos", F.col("event_id").bitwiseXOR(F.lit(15)))
+    ms = millis(raw, "ts")
+    path = new_folder(spark, "parts") + ".csv"
+    (raw.repartitionByRange(4, "pos").sortWithinPartitions("pos")
+     .select((ms.cast("decimal(20,3)") / 1000).cast("decimal(20,3)").alias("time"), "value",
+             F.col("event_type").alias("type"), F.col("user_id").alias("user")).write.option("header", True).csv(path))
+    return wide_csv.load_all(spark, [path]).points("num")
+
+
 @query("""SELECT unnest(['value', 'type', 'user', 'unused']) AS name,
        unnest(['num', 'str', 'num', NULL]) AS kind""")
 def infer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,17 @@ which numbered columns form an array. Reading is then one scan that melts the co
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import csv
+import io
+from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.functions.scalars import is_empty, parsed_or_fail, split_header, to_epoch_ms
+from tidegrid.functions.scalars import holds, is_empty, parsed_or_fail, split_header, to_epoch_ms
 from tidegrid.model import CATALOG, KINDS
 from tidegrid.operators.aggregates import catalog
 from tidegrid.operators.points import concat_points, mark_backward, require_ordered
@@ -87,16 +89,60 @@ def cell_schema(width: int) -> T.StructType:
     return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
 
 
-def csv_options(multi_line: bool) -> dict[str, str]:
-    return {"header": "true", "enforceSchema": "true", "escape": '"', "maxColumns": "200000",
+def csv_options(multi_line: bool, width: int) -> dict[str, str]:
+    return {"header": "true", "enforceSchema": "true", "escape": '"', "maxColumns": str(2 * width + 1000),
             "multiLine": str(multi_line).lower()}
 
 
-def read_header(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[str, ...]:
-    """The names in the first row, untouched (Spark's own header handling renames duplicates)."""
-    reader = spark.read.options(**{**csv_options(multi_line), "header": "false"})
-    row = reader.csv(path).filter("_metadata.file_block_start = 0").first()
-    return tuple("" if cell is None else cell for cell in row) if row else ()
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path stands for, by name: itself, or what lies in a folder but for hidden files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [(s.getPath().getName(), s.getPath().toString()) for s in files.listStatus(at) if s.isFile()]
+    return [p for name, p in sorted(found) if len(found) == 1 or name[0] not in "._"]
+
+
+def read_head(spark: SparkSession, file: str, records: int, first_bytes: int = 1 << 16) -> list[list[str]]:
+    """The first records of a file, from as many of its first bytes as they need."""
+    jvm, size = spark._jvm, first_bytes
+    at = jvm.org.apache.hadoop.fs.Path(file)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    length = files.getFileStatus(at).getLen()
+    while True:
+        stream = files.open(at)
+        try:
+            head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
+                jvm.org.apache.commons.io.input.BoundedInputStream(stream, min(size, length))))
+        finally:
+            stream.close()
+        whole = size >= length
+        text = head.decode("utf-8", "strict" if whole else "ignore").removeprefix("\ufeff")
+        found = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+        if whole or len(found) > records:  # the last record may be cut
+            return found[:records]
+        size *= 4
+
+
+def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The names in the first row, untouched (Spark's own header handling renames duplicates).
+
+    The files of a folder must agree on them.
+    """
+    return _heads(spark, path, 1)[0]
+
+
+def _heads(spark: SparkSession, path: str, sample_rows: int) -> tuple[tuple[str, ...], list[list[str]]]:
+    """Header of all files of a path, and its first rows in the order of the files' names."""
+    header, rows = None, []
+    for file in list_files(spark, path):
+        head = read_head(spark, file, 1 + max(0, sample_rows - len(rows)))
+        if not head:
+            continue
+        if header is not None and tuple(head[0]) != header:
+            raise ValueError(f"{file} has other columns than the files before it: {head[0][:20]}")
+        header = tuple(head[0])
+        rows += head[1:]
+    return header or (), rows
 
 
 def read_wide_csv(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str],
@@ -106,7 +152,8 @@ def read_wide_csv(spark: SparkSession, paths: str | Sequence[str], header: Seque
     Extra cells are ignored, missing ones are null.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return with_file_order(spark.read.schema(cell_schema(len(header))).options(**csv_options(multi_line)).csv(paths))
+    options = csv_options(multi_line, len(header))
+    return with_file_order(spark.read.schema(cell_schema(len(header))).options(**options).csv(paths))
 
 
 def with_file_order(rows: DataFrame) -> DataFrame:
@@ -115,21 +162,34 @@ def with_file_order(rows: DataFrame) -> DataFrame:
     ``pos`` is unique and increasing inside a file: a split's first byte plus the row's number among the
     rows of its task, which are fewer than the split has bytes.
     """
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return rows.select("*", F.col("_metadata.file_path").alias("file"),
-                       (F.col("_metadata.file_block_start") + in_task).alias("pos"))
+                       (F.col("_metadata.file_block_start") + row_in_task()).alias("pos"))
+
 
+def row_in_task() -> Column:
+    """The row's number among the rows of its task."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def in_one_order(rows: DataFrame) -> DataFrame:
+    """Make ``pos`` increase over files too, in the order of their names: a file's place in its high bits.
+
+    A file is shorter than a terabyte (2**40 bytes).
+    """
+    files = rows.select("file").distinct()
+    place = Window.orderBy("file")  # a row per file
+    placed = files.withColumn("_place", (F.row_number().over(place) - 1).cast("long"))
+    return rows.join(placed, "file").withColumn("pos", F.shiftleft("_place", 40) + F.col("pos")).drop("_place")
 
-def infer_kinds(rows: DataFrame, width: int, sample_rows: int | None = SAMPLE_ROWS) -> tuple[str | None, ...]:
-    """Kind of every column but the time, from the first rows in file order (all rows if None).
+
+def infer_kinds(rows: DataFrame, width: int) -> tuple[str | None, ...]:
+    """Kind of every column but the time, from all of these rows.
 
     All non-empty cells read as doubles: numeric. Other non-empty cells: text. None at all: unknown.
     """
     cells = [f"c{i}" for i in range(1, width)]
     if not cells:
         return ()
-    if sample_rows is not None:
-        rows = rows.filter("_metadata.file_block_start = 0").limit(sample_rows)
     checks = rows.selectExpr(*[f"count_if({c} <> '') AS n_{c}" for c in cells], *[
         f"count_if({c} <> '' AND try_cast({c} AS DOUBLE) IS NULL) AS t_{c}" for c in cells]).first()
     return tuple(None if checks[f"n_{c}"] == 0 else "str" if checks[f"t_{c}"] else "num" for c in cells)
@@ -137,24 +197,39 @@ def infer_kinds(rows: DataFrame, width: int, sample_rows: int | None = SAMPLE_RO
 
 def read_layout(spark: SparkSession, path: str, sample_rows: int | None = SAMPLE_ROWS,
                 multi_line: bool = False) -> Layout:
-    """Header and kinds of one file; two small jobs over its first rows."""
-    header = read_header(spark, path, multi_line)
-    sample = spark.read.schema(cell_schema(len(header))).options(**csv_options(multi_line)).csv(path)
-    return Layout(header, infer_kinds(sample, len(header), sample_rows))
+    """Header of the files of a path and kinds from its first rows, or from all rows if None."""
+    if sample_rows is None:
+        header = read_header(spark, path)
+        return Layout(header, infer_kinds(read_wide_csv(spark, path, header, multi_line), len(header)))
+    return read_layouts(spark, [path], sample_rows)[0]
+
+
+def read_layouts(spark: SparkSession, paths: Sequence[str], sample_rows: int = SAMPLE_ROWS) -> list[Layout]:
+    """The layouts of many paths: the heads of their files are read, and one job tells the kinds of all columns."""
+    with ThreadPoolExecutor(8) as pool:
+        heads = list(pool.map(lambda p: _heads(spark, p, sample_rows), paths))
+    cells = [(at, i, cell) for at, (header, rows) in enumerate(heads) for row in rows
+             for i, cell in enumerate(row[1:len(header)], start=1) if cell != ""]
+    number = F.col("cell").try_cast("double").isNotNull()
+    seen = spark.createDataFrame(cells, "at INT, i INT, cell STRING").groupBy("at", "i").agg(F.min(number).alias("number"))
+    kind = {(r["at"], r["i"]): "num" if r["number"] else "str" for r in seen.collect()} if cells else {}
+    return [Layout(header, tuple(kind.get((at, i)) for i in range(1, len(header))))
+            for at, (header, _) in enumerate(heads)]
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _time(rows: DataFrame) -> Column:
-    return parsed_or_fail(F.col("c0"), to_epoch_ms(F.col("c0")), "time")
+def _timed(rows: DataFrame) -> DataFrame:
+    """Rows with their time ``t``; one that cannot be read fails the query."""
+    time = to_epoch_ms(F.col("c0"))
+    return rows.filter(parsed_or_fail(F.col("c0"), time, "time")).withColumn("t", time)
 
 
 def _melt(rows: DataFrame, columns: dict[str, int], carried: Sequence[str]) -> DataFrame:
     """One row per non-empty cell: ``series, t, cell`` and the carried columns."""
-    ids = [_time(rows).alias("t"), *carried]
-    wide = rows.select(*ids, *[F.col(f"c{at}").alias(f"_{at}") for at in columns.values()])
+    wide = _timed(rows).select("t", *carried, *[F.col(f"c{at}").alias(f"_{at}") for at in columns.values()])
     names = {f"_{at}": name for name, at in columns.items()}
     long = wide.unpivot(["t", *carried], list(names), "_column", "cell").filter(~is_empty(F.col("cell")))
     series = F.element_at(F.expr(f"map({', '.join(f'{_quoted(c)}, {_quoted(n)}' for c, n in names.items())})"),
@@ -174,7 +249,7 @@ def melt_kind(rows: DataFrame, layout: Layout, kind: str, strict: bool = True,
     long = _melt(rows, columns, carried)
     parsed = KINDS[kind].parse(F.col("cell"))
     if strict:
-        return long.select("series", "t", parsed_or_fail(F.col("cell"), parsed, kind).alias("v"), *carried)
+        return long.filter(parsed_or_fail(F.col("cell"), parsed, kind)).select("series", "t", parsed.alias("v"), *carried)
     return long.select("series", "t", parsed.alias("v"), *carried).filter("v is not null")
 
 
@@ -200,9 +275,10 @@ def zip_arrays(rows: DataFrame, layout: Layout, strict: bool = True, few: bool =
     # as SQL text: a file may have very many columns, and each is one short expression
     used = sorted({at for members in arrays.values() for at in members})
     filled = " OR ".join(f"c{at} <> ''" for at in used)
-    numbers = [f"CASE WHEN c{at} <> '' THEN coalesce(try_cast(c{at} AS DOUBLE), "
-               f"raise_error('cannot read num: ' || c{at})) END AS c{at}" for at in used]
-    timed = rows.filter(filled).select("file", "pos", _time(rows).alias("t"), *[f"c{at}" for at in used])
+    unread = " ".join(f"WHEN c{at} <> '' AND try_cast(c{at} AS DOUBLE) IS NULL THEN c{at}" for at in used)
+    numbers = [f"try_cast(nullif(c{at}, '') AS DOUBLE) AS c{at}" for at in used]
+    timed = _timed(rows.filter(filled)).withColumn("_unread", F.expr(f"CASE {unread} END"))
+    timed = timed.filter(holds(F.col("_unread").isNull(), F.concat(F.lit("cannot read num: "), F.col("_unread"))))
     timed = timed.selectExpr("file", "pos", "t", *numbers)
     if strict:
         timed = require_ordered(timed, "pos", ["file"], strict=False)
@@ -234,39 +310,55 @@ class Loaded:
 
 
 def load_all(spark: SparkSession, paths: Iterable[str], strict: bool = True,
-             sample_rows: int | None = SAMPLE_ROWS, multi_line: bool = False) -> Loaded:
+             sample_rows: int | None = SAMPLE_ROWS, multi_line: bool = False,
+             kinds: Mapping[str, str] | None = None) -> Loaded:
     """Load wide CSV files into one catalog; other file names are refused, and a series name met again in
     a later path replaces the earlier one.
 
-    Files of one layout are read by one scan. The cells that are needed are written to the shared folder
-    first, so that the text is parsed once, and then the melted points.
+    Files of one header and kinds are read by one scan, and what another path owns is left out. The files of one
+    path follow each other by name. ``kinds`` names the kind of some columns, also registered ones, whose ``parse``
+    then reads them. The cells that are needed are written to the shared folder first, so that the
+    text is parsed once, and then the melted points; jobs do not grow with the number of paths.
     """
     paths = list(paths)
     if refused := [p for p in paths if not p.endswith(".csv")]:
         raise ValueError(f"not a .csv file: {refused}")
-    with ThreadPoolExecutor(8) as pool:
-        layouts = list(pool.map(lambda p: read_layout(spark, p, sample_rows, multi_line), paths))
+    if sample_rows is None:
+        layouts = [read_layout(spark, p, None, multi_line) for p in paths]
+    else:
+        layouts = read_layouts(spark, paths, sample_rows)
+    if kinds:
+        layouts = [replace(x, kinds=tuple(kinds.get(name, k) for name, k in zip(x.header[1:], x.kinds))) for x in layouts]
     owner = {name: at for at, layout in enumerate(layouts) for name in layout.series()}
-    groups: dict[Layout, list[str]] = {}
-    for at, (path, layout) in enumerate(zip(paths, layouts)):
-        owned = frozenset((kind, name) for name, kind in layout.series().items() if owner[name] == at)
-        if owned:  # a file whose series are all replaced is not read
-            groups.setdefault(replace(layout, only=owned), []).append(path)
+    groups: dict[Layout, list[int]] = {}
+    for at, layout in enumerate(layouts):
+        if at in owner.values():  # a file whose series are all replaced is not read
+            groups.setdefault(layout, []).append(at)
 
     melted: dict[str, list[DataFrame]] = {}
     for layout, group in groups.items():
-        rows = read_wide_csv(spark, group, layout.header, multi_line)
-        used = [0, *layout.columns("num").values(), *layout.columns("str").values(),
+        wanted = frozenset((kind, name) for name, kind in layout.series().items() if owner[name] in group)
+        layout = replace(layout, only=wanted)
+        rows = read_wide_csv(spark, [paths[at] for at in group], layout.header, multi_line)
+        used = [0, *(at for kind in KINDS for at in layout.columns(kind).values()),
                 *(at for members in layout.arrays.values() for at in members)]
         rows = materialize(rows.select(*[f"c{at}" for at in sorted(set(used))], "file", "pos"), "cells")
-        parts = {"num": melt_numeric(rows, layout, strict),
-                 "arr": zip_arrays(rows, layout, strict, len(group) * len(layout.arrays) <= FEW_LENGTHS),
-                 "str": melt_string(rows, layout)}
-        for kind, part in parts.items():
+        rows = in_one_order(rows)
+        owned = _owned(spark, {at: paths[at] for at in group}, {name: owner[name] for _, name in wanted})
+        for kind in list(KINDS):
+            part = (zip_arrays(rows, layout, strict, len(group) * len(layout.arrays) <= FEW_LENGTHS) if kind == "arr"
+                    else melt_kind(rows, layout, kind, strict))
             if part is not None:
-                melted.setdefault(kind, []).append(part)
+                melted.setdefault(kind, []).append(part if len(group) == 1 else part.join(owned, ["file", "series"], "left_semi"))
 
     marked = {kind: mark_backward(materialize(concat_points(*parts), f"points-{kind}"), "pos")
               for kind, parts in melted.items()}
     entries = [catalog(points, kind) for kind, points in marked.items()]
     return Loaded(marked, concat_points(*entries) if entries else spark.createDataFrame([], CATALOG))
+
+
+def _owned(spark: SparkSession, paths: Mapping[int, str], owner: Mapping[str, int]) -> DataFrame:
+    """``file, series`` for every file of the path that owns the series: names in headers, not data."""
+    files = {at: list_files(spark, path) for at, path in paths.items()}
+    pairs = [(file, name) for name, at in owner.items() for file in files[at]]
+    return spark.createDataFrame(pairs, "file STRING, series STRING")
