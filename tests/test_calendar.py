@@ -169,3 +169,12 @@ def test_user_scale(spark):
     assert quarter.nominal_ms == 90 * 86_400_000
     assert one(spark, cal.calendar_trunc(lit(ms("2024-08-20")), quarter)) == ms("2024-07-01")
     assert ticks(spark, ms("2024-02-01"), ms("2024-12-01"), quarter) == [ms("2024-04-01"), ms("2024-07-01"), ms("2024-10-01")]
+
+
+def test_long_ranges_are_filled_by_many_tasks(spark):
+    """Minutes of 30 days for 20 series: the ticks do not come from the task that holds the 20 ranges."""
+    day = 86_400_000
+    df = spark.createDataFrame([(f"s{i}", i * 60_000, 30 * day) for i in range(20)], "series STRING, start BIGINT, end BIGINT")
+    ticks = cal.tick_spine(df, "minute")
+    per_task = ticks.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per_task) > 1 and sum(r["count"] for r in per_task) == ticks.count()

@@ -9,7 +9,7 @@ from tidegrid.session import materialize
 
 def held(p):
     """The pyramid written out, as an append or a query finds it."""
-    return pyr.Pyramid(materialize(p.points, "p"), materialize(p.nodes, "n"), p.spec)
+    return pyr.Pyramid(materialize(p.points, "p"), materialize(p.nodes, "n"), p.spec, p.shape)
 
 
 def built(points, n, leaf=4, fanout=4, bits=2):
@@ -23,118 +23,91 @@ def test_depth_and_consistency(points, rows, leaf, fanout, n, depth):
     p = built(points, n, leaf, fanout, bits=5)
     assert rows(pyr.pyramid_stats(p.nodes), "depth", "n") == [(depth, n)]
     assert rows(p.nodes.filter("parent_id is null"), "min_t", "max_t", "n") == [(0, n - 1, n)]
-    assert rows(pyr.validate_pyramid(p, leaf, fanout)) == []
+    assert rows(pyr.validate_pyramid(p)) == []
 
 
 def test_leaf_shape(points, rows):
     assert rows(built(points, 10).nodes.filter("level = 0"), "node_id", "n") == [(0, 2), (1, 2), (2, 2), (3, 4)]
 
 
-class Split:
-    """A step-by-step model of the splitting rule, on counts: (first position, positions) per node."""
-
-    def __init__(self, leaf, fanout, n):
-        self.levels = [[[0, 0]]]  # per level: [start, children or points]
-        self.sizes = (leaf, fanout)
-        for _ in range(n):
-            self.add()
-
-    def add(self):
-        j = 0
-        while True:  # a full last node keeps its lower half when more arrives
-            size = self.sizes[0] if j == 0 else self.sizes[1]
-            last = self.levels[j][-1]
-            if last[1] < size:
-                last[1] += 1
-                return
-            self.levels[j].append([last[0] + size // 2, size - size // 2 + (1 if j == 0 else 1)])
-            last[1] = size // 2
-            if j + 1 == len(self.levels):
-                self.levels.append([[0, 2]])
-                return
-            j += 1
-
-
-@pytest.mark.parametrize("leaf, fanout", [(4, 4), (8, 4), (16, 16)])
-def test_node_counts_equal_step_by_step_model(spark, leaf, fanout):
-    shape = pyr.CountShape(leaf, fanout)
-    ns = [1, 3, 4, 5, 9, 10, 11, 22, 23, 64, 65, 100, 333, 700]
-    df = spark.createDataFrame([(n,) for n in ns], "n BIGINT")
-    got = {r["n"]: r for r in df.select("n", shape.top(F.col("n")).alias("top"), *[
-        shape.count(F.col("n"), F.lit(j)).alias(f"l{j}") for j in range(10)]).collect()}
+@pytest.mark.parametrize("leaf, fanout, ns", [(4, 4, (1, 4, 5, 9, 17, 64, 333)), (8, 4, (8, 9, 50, 200)), (16, 16, (16, 40, 700))])
+def test_nodes_are_half_full_but_the_last(points, rows, leaf, fanout, ns):
     for n in ns:
-        model = Split(leaf, fanout, n).levels
-        assert got[n]["top"] == len(model) - 1, n
-        assert [got[n][f"l{j}"] for j in range(len(model))] == [len(level) for level in model], n
-
-
-PAIRS = [(0, 0), (1, 1), (2, 2), (100, 3), (101, 4), (102, 5), (103, 6), (104, 7), (105, 8), (120, 9), (121, 10),
-         (122, 11), (123, 12), (124, 13)]
-FIRST, LAST = (False, 0, 1, 2, 1.0), (False, 101, 124, 10, 85.0)
-TWO, HUNDRED = (True, 2, 2, 1, 2.0), (True, 100, 100, 1, 3.0)
+        nodes = built(points, n, leaf, fanout, bits=5).nodes.orderBy("level", "node_id").collect()
+        levels = [[x for x in nodes if x["level"] == j] for j in range(nodes[-1]["level"] + 1)]
+        assert len(levels[-1]) == 1 and all(len(x) > 1 for x in levels[:-1])
+        assert [sum(x["n_points"] for x in level) for level in levels] == [n] * len(levels)
+        for j, level in enumerate(levels):
+            sizes = ([x["n_points"] for x in level] if j == 0 else
+                     [sum(c["parent_id"] == x["node_id"] for c in levels[j - 1]) for x in level])
+            most = leaf if j == 0 else fanout
+            assert all(size == most // 2 for size in sizes[:-1])
+            assert sizes[-1] <= most and (len(level) == 1 or sizes[-1] > most // 2 - 1)
+
+
+TIMES = [5, 6, 9, 40, 41, 43, 44, 300, 301, 302, 310, 311, 340, 900, 905, 906, 2000, 2001, 2002, 2003, 2500]
+
+
+def assert_covers(found, nodes, times, start, end, resolution):
+    """What a range query promises: whole nodes that fit under parents that do not, and every point of the range once."""
+    parents = {(x["level"], x["node_id"]): x["max_t"] - x["min_t"] for x in nodes}
+    covered = []
+    for is_leaf, low, high in found:
+        if is_leaf:
+            assert low == high and start <= low <= end
+            covered.append(low)
+            continue
+        assert high - low <= resolution and high >= start and low < end
+        same = [x for x in nodes if (x["min_t"], x["max_t"]) == (low, high)]
+        top = max(same, key=lambda x: x["level"])
+        assert top["parent_id"] is None or parents[top["level"] + 1, top["parent_id"]] > resolution
+        covered += [t for t in times if low <= t <= high]
+    assert len(covered) == len(set(covered))
+    inside = {t for t in times if start <= t < end}
+    assert inside <= set(covered)
+
+
+@pytest.mark.parametrize("start, end, resolution", [
+    (0, 3000, 50), (41, 310, 5), (42, 42, 3), (300, 2001, 700), (6, 905, 0), (-10, 4, 50), (2600, 9000, 50), (0, 3000, 5000)])
+def test_range_query(spark, points, rows, start, end, resolution):
+    p = held(pyr.build_pyramid(points([(t, i) for i, t in enumerate(TIMES)]), "num", 4, 4, bits=3))
+    columns = ["is_leaf", "min_t", "max_t"]
+    found = rows(lod.query_lod(p, start, end, resolution), *columns)
+    assert_covers(found, p.nodes.collect(), TIMES, start, end, resolution)
+    ranges = spark.createDataFrame([("s", start, end, resolution), ("other", 0, 1, 1)],
+                                   "series STRING, start BIGINT, end BIGINT, resolution BIGINT")
+    assert rows(lod.query_lod(p, ranges=ranges), *columns) == found
+    assert rows(lod.query_lod(p, start, end, resolution, look_ahead=True), *columns) == found
+    assert rows(lod.query_lod(p, ranges=ranges, look_ahead=True), *columns) == found
 
 
-@pytest.mark.parametrize("start, end, expected", [
-    (0, 111, [FIRST, TWO, HUNDRED, LAST]), (3, 102, [HUNDRED, LAST]), (0, 101, [FIRST, TWO, HUNDRED]),
-    (3, 101, [HUNDRED])])
-def test_range_query(spark, points, rows, start, end, expected):
-    p = held(pyr.build_pyramid(points(PAIRS), "num", 4, 4, bits=3))
-    columns = ["is_leaf", "min_t", "max_t", "n", "total"]
-    assert rows(lod.query_lod(p, start, end, 50), *columns) == sorted(expected)
-    ranges = spark.createDataFrame([("s", start, end, 50), ("other", 0, 1, 1)],
-                                   "series STRING, start BIGINT, end BIGINT, resolution BIGINT")
-    assert rows(lod.query_lod(p, ranges=ranges), *columns) == sorted(expected)
-    assert rows(lod.query_lod(p, start, end, 50, look_ahead=True), *columns) == sorted(expected)
-    assert rows(lod.query_lod(p, ranges=ranges, look_ahead=True), *columns) == sorted(expected)
+def test_range_query_without_a_range(points, rows):
+    p = held(pyr.build_pyramid(points([(t, i) for i, t in enumerate(TIMES)]), "num", 4, 4))
+    assert rows(lod.query_lod(p, resolution=5)) == rows(lod.query_lod(p, -100, 100_000, 5)) != []
+    with pytest.raises(ValueError, match="resolution"):
+        lod.query_lod(p, 0, 10)
 
 
 def test_look_ahead_leaves_the_points_alone(points, rows, monkeypatch):
-    p = held(pyr.build_pyramid(points(PAIRS), "num", 4, 4))
-    coarse = lod.query_lod(p, 0, 200, 1000, look_ahead=True)
+    p = held(pyr.build_pyramid(points([(t, i) for i, t in enumerate(TIMES)]), "num", 4, 4))
+    coarse = lod.query_lod(p, 0, 3000, 9000, look_ahead=True)
     assert coarse._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
-    assert rows(coarse) == rows(lod.query_lod(p, 0, 200, 1000))
+    assert rows(coarse) == rows(lod.query_lod(p, 0, 3000, 9000))
     monkeypatch.setattr(lod, "FEW_LEAVES", 0)  # too many to broadcast
-    assert rows(lod.query_lod(p, 0, 200, 3, look_ahead=True)) == rows(lod.query_lod(p, 0, 200, 3))
-
-
-def test_range_query_depth(points, rows):
-    assert rows(pyr.pyramid_stats(pyr.build_pyramid(points(PAIRS), "num", 4, 4).nodes), "depth") == [(3,)]
+    assert rows(lod.query_lod(p, 0, 3000, 3, look_ahead=True)) == rows(lod.query_lod(p, 0, 3000, 3))
 
 
-def walked(nodes, raw, start, end, r):
-    """The query as a walk from the top: stop at nodes that fit, open leaves that do not."""
-    children = {}
-    for x in nodes:
-        children.setdefault((x["level"] + 1, x["parent_id"]), []).append(x)
-    out = []
-
-    def visit(x):
-        if x["max_t"] < start or x["min_t"] >= end:
-            return
-        if x["max_t"] - x["min_t"] <= r:
-            out.append((False, x["min_t"], x["max_t"]))
-        elif x["level"] == 0:
-            out.extend((True, t, t) for t, node in raw if node == x["node_id"] and start <= t <= end)
-        else:
-            for c in children[(x["level"], x["node_id"])]:
-                visit(c)
-    for x in nodes:
-        if x["parent_id"] is None:
-            visit(x)
-    return sorted(out)
-
-
-def test_range_query_equals_walk(spark, points, rows):
+def test_range_queries_of_random_times(spark, points, rows):
     rnd, t, times = random.Random(3), 0, []
     for _ in range(220):
         t += rnd.choice([1, 1, 2, 3, 40])
-        times.append((t, 1))
-    p = held(pyr.build_pyramid(points(times), "num", 4, 4, bits=4))
-    nodes, raw = p.nodes.collect(), [(r["t"], r["node_id"]) for r in p.points.collect()]
+        times.append(t)
+    p = held(pyr.build_pyramid(points([(t, 1) for t in times]), "num", 4, 4, bits=4))
+    nodes = p.nodes.collect()
     for _ in range(6):
         a, b = sorted(rnd.sample(range(t), 2))
         r = rnd.choice([-1, 0, 3, 10, 60, 500])
-        assert rows(lod.query_lod(p, a, b, r), "is_leaf", "min_t", "max_t") == walked(nodes, raw, a, b, r)
+        assert_covers(rows(lod.query_lod(p, a, b, r), "is_leaf", "min_t", "max_t"), nodes, times, a, b, r)
 
 
 def test_negative_resolution_gives_raw_points(points, rows):
@@ -151,13 +124,13 @@ def test_append_equals_building_at_once(spark, points, rows, old, new):
     early = both.filter(F.col("t") < old * 2)
     late = both.filter(F.col("t") >= max(0, old * 2 - 6)).withColumn("pos", F.col("t"))  # overlaps what is held
     first = held(pyr.build_pyramid(early.unionByName(other), "num", 4, 4))
-    delta = held(pyr.append_delta(first, late, "pos", 4, 4, bits=3))
+    delta = held(pyr.append_delta(first, late, "pos", bits=3))
     got = held(pyr.upsert(first, delta))
     assert delta.points.count() <= new + 4 and delta.nodes.filter("series = 'untouched'").count() == 0
     want = pyr.build_pyramid(both.unionByName(other), "num", 4, 4)
     assert rows(got.nodes, *want.nodes.columns) == rows(want.nodes)
     assert rows(got.points, *want.points.columns) == rows(want.points)
-    assert rows(pyr.validate_pyramid(got, 4, 4)) == []
+    assert rows(pyr.validate_pyramid(got)) == []
 
 
 @pytest.mark.parametrize("kind, type_, value", [("str", "STRING", lambda i: "a" if i < 25 else "b"),
@@ -165,7 +138,7 @@ def test_append_equals_building_at_once(spark, points, rows, old, new):
 def test_append_of_other_kinds(points, rows, kind, type_, value):
     both = points([(i, value(i)) for i in range(60)], type_)
     first = held(pyr.build_pyramid(both.filter("t < 37"), kind, 4, 4))
-    got = pyr.append_points(first, both.filter("t >= 37").withColumn("pos", F.col("t")), "pos", 4, 4)
+    got = pyr.append_points(first, both.filter("t >= 37").withColumn("pos", F.col("t")), "pos")
     want = pyr.build_pyramid(both, kind, 4, 4)
     assert rows(got.nodes, *want.nodes.columns) == rows(want.nodes)
 
@@ -175,18 +148,19 @@ def test_validate_finds_damage(points, rows):
     damaged = [("aggregate", F.col("total") + F.when((F.col("level") == 1) & (F.col("node_id") == 0), 1.0).otherwise(0.0), "total"),
                ("bounds", F.col("max_t") + F.when((F.col("level") == 0) & (F.col("node_id") == 3), 1).otherwise(0), "max_t")]
     for problem, change, column in damaged:
-        bad = pyr.Pyramid(p.points, p.nodes.withColumn(column, change), p.spec)
-        assert problem in {r[0] for r in rows(pyr.validate_pyramid(bad, 4, 4), "problem")}
-    bad = pyr.Pyramid(p.points, p.nodes.filter("level > 0 or node_id <> 2"), p.spec)
-    assert {"missing", "bounds", "aggregate"} & {r[0] for r in rows(pyr.validate_pyramid(bad, 4, 4), "problem")}
-    assert rows(pyr.validate_pyramid(p, 2, 2), "problem")
+        bad = pyr.Pyramid(p.points, p.nodes.withColumn(column, change), p.spec, p.shape)
+        assert problem in {r[0] for r in rows(pyr.validate_pyramid(bad), "problem")}
+    bad = pyr.Pyramid(p.points, p.nodes.filter("level > 0 or node_id <> 2"), p.spec, p.shape)
+    assert {"missing", "bounds", "aggregate"} & {r[0] for r in rows(pyr.validate_pyramid(bad), "problem")}
+    small = pyr.Pyramid(p.points, p.nodes, p.spec, pyr.CountShape(2, 4))
+    assert "size" in {r[0] for r in rows(pyr.validate_pyramid(small), "problem")}
 
 
 def test_time_pyramid_and_append(points, rows):
     df = points([(i * 7, i) for i in range(100)])
     whole = pyr.build_time_pyramid(df, "num", 10, 4, 4)
     first = pyr.build_time_pyramid(df.filter("t < 333"), "num", 10, 4, 4)
-    grown = pyr.append_time_points(first, df.filter("t >= 333"), 10, 4, 4)
+    grown = pyr.append_time_points(first, df.filter("t >= 333"))
     assert rows(grown.nodes, *whole.nodes.columns) == rows(whole.nodes)
     assert rows(whole.nodes.groupBy("level").agg(F.sum("n").alias("n"))) == [(j, 100) for j in range(4)]
     got = lod.query_lod(whole, 0, 700, 35)
@@ -208,3 +182,12 @@ def test_shape_limits():
         pyr.CountShape(1, 4)
     with pytest.raises(ValueError):
         pyr.CountShape(4, 3)
+
+
+def test_appending_keeps_the_shape(points, rows):
+    both = points([(i, i) for i in range(100)])
+    first = held(pyr.build_pyramid(both.filter("t < 60"), "num", 8, 4))
+    grown = pyr.append_points(first, both.filter("t >= 60").withColumn("pos", F.col("t")), "pos")
+    assert grown.nodes.filter("level = 0").agg(F.sum("n")).first()[0] == 100
+    with pytest.raises(ValueError, match="GridShape"):
+        pyr.append_time_points(first, both)

@@ -15,40 +15,26 @@ def nodes(spark, *items):
 
 
 def test_nodes(spark, rows):
-    df = nodes(spark, (False, 0, 1, 0.0, 10.0, 2, 20.0), (False, 2, 3, 10.0, 20.0, 2, 30.0),
-               (False, 10, 11, 500.0, 600.0, 2, 1100.0))
-    assert rows(resample(df, 4), *COLUMNS) == [(False, 0, 3, 0.0, 20.0, 4, 50.0),
-                                               (False, 10, 11, 500.0, 600.0, 2, 1100.0)]
+    df = nodes(spark, (False, 10, 12, 1.0, 4.0, 3, 7.0), (False, 13, 14, 2.0, 9.0, 2, 11.0),
+               (False, 21, 24, -5.0, 6.0, 4, 3.0))
+    assert rows(resample(df, 5), *COLUMNS) == [(False, 10, 14, 1.0, 9.0, 5, 18.0), (False, 21, 24, -5.0, 6.0, 4, 3.0)]
 
 
 def test_points(points, rows):
-    df = points([(1, 10), (2, 20), (3, 30), (4, 40), (5, 50), (6, 60), (8, 80)])
-    expected = sorted([(True, 1, 1, 10.0, 10.0, 1, 10.0), (False, 2, 3, 20.0, 30.0, 2, 50.0),
-                       (False, 4, 5, 40.0, 50.0, 2, 90.0), (True, 6, 6, 60.0, 60.0, 1, 60.0),
-                       (True, 8, 8, 80.0, 80.0, 1, 80.0)])
-    assert rows(resample_points(df, 2), *COLUMNS) == expected
-    assert rows(resample(lift_points(df, "num"), 2), *COLUMNS) == expected
+    df = points([(0, 7), (2, 1), (3, 4), (4, 4), (5, 2), (11, 3)])
+    expected = sorted([(False, 0, 2, 1.0, 7.0, 2, 8.0), (False, 3, 5, 2.0, 4.0, 3, 10.0), (True, 11, 11, 3.0, 3.0, 1, 3.0)])
+    assert rows(resample_points(df, 3), *COLUMNS) == expected
+    assert rows(resample(lift_points(df, "num"), 3), *COLUMNS) == expected
 
 
-def test_mix(spark, rows):
-    df = nodes(spark, (True, 0, 0, 1.0, 1.0, 1, 1.0), (False, 1, 2, 10.0, 20.0, 2, 30.0),
-               (False, 3, 4, 30.0, 40.0, 2, 70.0))
-    assert rows(resample(df, 4), *COLUMNS) == [(False, 0, 2, 1.0, 20.0, 3, 31.0), (False, 3, 4, 30.0, 40.0, 2, 70.0)]
-
-
-def sequential(items, r):
-    """The rule applied row by row: a new group when the row's end reaches past the group or wraps a multiple."""
-    groups, start = [], None
-    for lo, hi in items:
-        if start is None or hi >= start + r or hi % r < start % r:
-            groups.append([])
-            start = lo
-        groups[-1].append((lo, hi))
-    return [(g[0][0], g[-1][1], len(g)) for g in groups]
+def test_a_row_across_a_multiple_stays_alone(spark, rows):
+    df = nodes(spark, (True, 1, 1, 5.0, 5.0, 1, 5.0), (False, 4, 6, 2.0, 3.0, 2, 5.0), (False, 8, 12, 7.0, 8.0, 3, 22.0),
+               (True, 14, 14, 1.0, 1.0, 1, 1.0))
+    assert rows(resample(df, 10), "min_t", "max_t", "n") == [(1, 6, 3), (8, 12, 3), (14, 14, 1)]
 
 
 @pytest.mark.parametrize("r", [1, 3, 7, 20])
-def test_equals_sequential_rule(spark, rows, r):
+def test_rows_of_one_bucket_become_one(spark, rows, r):
     rnd, t, spans = random.Random(r), 0, []
     for _ in range(400):
         t += rnd.randint(1, 6)
@@ -56,7 +42,15 @@ def test_equals_sequential_rule(spark, rows, r):
         spans.append((t, end))
         t = end
     df = nodes(spark, *[(lo == hi, lo, hi, 0.0, 0.0, 1, 0.0) for lo, hi in spans])
-    assert rows(resample(df, r), "min_t", "max_t", "n") == sorted(sequential(spans, r))
+    found = rows(resample(df, r), "min_t", "max_t", "n")
+    assert sum(n for _, _, n in found) == len(spans)
+    inside = [(lo, hi) for lo, hi in spans if lo // r == hi // r]
+    for low, high, n in found:
+        if low // r != high // r:  # across a multiple: as it came
+            assert n == 1 and (low, high) in spans
+        else:  # all that lie in its bucket
+            own = [x for x in inside if x[0] // r == low // r]
+            assert n == len(own) and low == own[0][0] and high == own[-1][1]
 
 
 def test_not_positive_resolution_merges_nothing(points, rows):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import pyramid as pyr
@@ -16,7 +17,7 @@ def test_round_trip(spark, points, rows):
     back = read_pyramid(spark, f"{path}/pyramid")
     assert rows(back.nodes, *built.nodes.columns) == rows(built.nodes)
     assert rows(back.points, *built.points.columns) == rows(built.points)
-    assert rows(pyr.validate_pyramid(back, 4, 4)) == []
+    assert rows(pyr.validate_pyramid(back)) == []
     direct = store_pyramid(df, f"{path}/direct", "num", 4, 4)
     assert rows(direct.nodes, *built.nodes.columns) == rows(built.nodes)
     assert rows(direct.points, *built.points.columns) == rows(built.points)
@@ -49,3 +50,13 @@ def test_as_series_in_another_session_zone(spark, rows):
         assert rows(as_series(df, "k", "ts", "v"), "t") == [(1719835200000,)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_shape_and_kind_are_stored(spark, tmp_path, points):
+    path = f"{tmp_path}/shaped"
+    store_pyramid(points([(i, i) for i in range(50)]), path, "num", 8, 4)
+    assert read_pyramid(spark, path).shape == pyr.CountShape(8, 4)
+    with pytest.raises(ValueError, match="kind num"):
+        read_pyramid(spark, path, "str")
+    with pytest.raises(ValueError, match="holds a pyramid"):
+        store_pyramid(points([(1, 1)]), path, "num", 4, 4)

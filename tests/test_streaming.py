@@ -1,4 +1,7 @@
+import os
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidegrid.operators import points as pts, pyramid as pyr
@@ -50,12 +53,12 @@ def test_append_equals_batch(spark, tmp_path, streamed, rows):
     fn = append.append_batches(f"{tmp_path}/out", "num", 2, 4, 3)
     run(streamed(), tmp_path, fn)
     want = pyr.build_time_pyramid(whole(spark).drop("pos"), "num", 2, 4, 3).nodes
-    got = append.read_appended(spark, f"{tmp_path}/out", "num", 4, 3)
+    got = append.read_appended(spark, f"{tmp_path}/out").nodes
     assert rows(got, *want.columns) == rows(want)
     fn(spark.createDataFrame(BATCHES[1], SCHEMA), 1)  # the batch comes again
-    assert rows(append.read_appended(spark, f"{tmp_path}/out", "num", 4, 3), *want.columns) == rows(want)
-    append.compact(spark, f"{tmp_path}/out", f"{tmp_path}/base", "num", upto=1)
-    got = append.read_appended(spark, f"{tmp_path}/out", "num", 4, 3, base=f"{tmp_path}/base", after=1)
+    assert rows(append.read_appended(spark, f"{tmp_path}/out").nodes, *want.columns) == rows(want)
+    append.compact(spark, f"{tmp_path}/out", f"{tmp_path}/base", upto=1)
+    got = append.read_appended(spark, f"{tmp_path}/out", base=f"{tmp_path}/base", after=1).nodes
     assert rows(got, *want.columns) == rows(want)
 
 
@@ -93,3 +96,38 @@ def test_wide_csv(spark, tmp_path, rows):
     assert rows(written(spark, tmp_path, number.drop("file"))) == [("x", 1000, 5.0), ("x", 3000, 7.0)]
     text = ingest.stream_wide_csv(spark, str(tmp_path / "in"), layout, "str")
     assert text.isStreaming and text.columns == ["series", "t", "v", "file"]
+
+
+def test_wide_csv_with_another_header_fails(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("time,x,y\n1,5,6\n")
+    layout = wc.read_layout(spark, str(tmp_path / "in" / "a.csv"))
+    (tmp_path / "in" / "b.csv").write_text("time,y,x\n3,7,8\n")
+    with pytest.raises(StreamingQueryException):
+        written(spark, tmp_path, ingest.stream_wide_csv(spark, str(tmp_path / "in"), layout).drop("file"))
+
+
+def test_files_through_the_guard(spark, tmp_path, rows):
+    """Numbers and arrays of several files in several batches; a later file may go back in time."""
+    (tmp_path / "in").mkdir()
+    texts = ["time,x,a0,a1,a2,a3\n1,5,1,2,3,4\n4,6,1,2,3,5\n", "time,x,a0,a1,a2,a3\n3,7,,,,\n9,8,4,3,2,1\n",
+             "time,x,a0,a1,a2,a3\n9,1,,,,\n10,2,,,,\n"]
+    for i, text in enumerate(texts):
+        (tmp_path / "in" / f"{i}.csv").write_text(text)
+        os.utime(tmp_path / "in" / f"{i}.csv", (1000 + i, 1000 + i))
+    layout = wc.read_layout(spark, str(tmp_path / "in" / "0.csv"))
+    guard = ingest.guard_batches(f"{tmp_path}/state", ingest.parquet_sink(f"{tmp_path}/num"), "pos")
+    melt = ingest.melt_batches(layout, {"num": guard, "arr": ingest.parquet_sink(f"{tmp_path}/arr")})
+    run(ingest.stream_cells(spark, str(tmp_path / "in"), layout, files_per_batch=1), tmp_path, melt)
+    assert rows(spark.read.parquet(f"{tmp_path}/num"), "t", "v") == [(1000, 5.0), (4000, 6.0), (9000, 8.0), (10000, 2.0)]
+    assert rows(spark.read.parquet(f"{tmp_path}/arr"), "t") == [(1000,), (4000,), (9000,)]
+
+
+def test_lost_state_fails(spark, tmp_path):
+    guard = ingest.guard_batches(f"{tmp_path}/state", ingest.parquet_sink(f"{tmp_path}/out"), "pos")
+    with pytest.raises(ValueError, match="state of batch 0"):
+        guard(spark.createDataFrame(BATCHES[1], SCHEMA), 1)
+    for i in (0, 1):
+        guard(spark.createDataFrame(BATCHES[i], SCHEMA), i)
+    with pytest.raises(ValueError, match="new folder"):
+        guard(spark.createDataFrame(BATCHES[0], SCHEMA), 0)

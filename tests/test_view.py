@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.model import lift_points
+from tidegrid.operators import aggregates as agg
 from tidegrid.operators import pyramid as pyr
 from tidegrid.operators.lod import query_lod
 from tidegrid.operators.resample import resample
@@ -61,7 +62,11 @@ def test_cache(pyramid):
     assert first.storageLevel.useMemory and cache.get(PORT) is first
     other = cache.get(vw.Viewport(0, 9_000, 300))
     assert other is not first and not first.storageLevel.useMemory
+    chosen = cache.get(vw.Viewport(0, 9_000, 300), ["a"])
+    assert chosen is not other and {r["series"] for r in chosen.select("series").distinct().collect()} == {"a"}
+    assert cache.get(vw.Viewport(0, 9_000, 300), ["a"]) is chosen
     cache.clear()
+    assert not chosen.storageLevel.useMemory
     assert not other.storageLevel.useMemory
 
 
@@ -92,6 +97,8 @@ def test_overlay(spark, rows):
     assert rows(chart.overlay(catalog, ["b", "s"], strict=False), "series", "accepted") == [("b", True), ("s", False)]
     with pytest.raises(Exception, match="cannot overlay"):
         chart.overlay(catalog, ["s", "a"]).collect()
+    with pytest.raises(Exception, match="cannot overlay"):
+        chart.overlay(catalog, ["s", "a"]).select("series").collect()
 
 
 def test_every_kind_can_be_viewed(points, rows):
@@ -101,3 +108,12 @@ def test_every_kind_can_be_viewed(points, rows):
     arr = pyr.build_pyramid(points([(i * 100, [1.0, float(i)]) for i in range(60)], "ARRAY<DOUBLE>"), "arr", 8, 4)
     got = vw.view(arr, vw.Viewport(0, 6_000, 30, 1_000))
     assert got.agg(F.sum("n")).first()[0] == 120
+
+
+def test_whole_series_from_the_top_nodes(pyramid, rows):
+    for of in (agg.series_summary(pyramid), agg.time_extent(pyramid), agg.value_limits(pyramid, ["a"])):
+        assert "/points" not in of._jdf.queryExecution().executedPlan().toString()
+    assert rows(agg.time_extent(pyramid)) == rows(agg.time_extent(pyramid.points))
+    columns = ["series", "min_t", "max_t", "lo", "hi", "n", "mean"]
+    assert rows(agg.series_summary(pyramid), *columns) == rows(agg.series_summary(pyramid.points, "num"), *columns)
+    assert rows(agg.value_limits(pyramid, ["a"])) == rows(agg.value_limits(pyramid.points, ["a"]))

@@ -172,6 +172,9 @@ def _steps(ranges: DataFrame, count: Column) -> DataFrame:
     """A row per step 0..count, from two short sequences: no array grows with the range."""
     blocks = ranges.withColumn("_count", count).withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("long"), idiv(F.col("_count"), _BLOCK))))
+    # the blocks of a few long ranges are spread over the tasks that fill them; a given number is not merged again
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(tasks, *[F.col(c) for c in (*ranges.columns, "_block")])
     first = F.col("_block") * _BLOCK
     steps = F.sequence(first, F.least(first + (_BLOCK - 1), F.col("_count")))
     return blocks.withColumn("_step", F.explode(steps)).drop("_block", "_count")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.model import AggregateSpec, spec_of
+from tidegrid.operators.pyramid import Pyramid
 
 
 def agg_points(points: DataFrame, kind: str | AggregateSpec, keys: Sequence[str] = ("series",)) -> DataFrame:
@@ -26,24 +27,33 @@ def with_mean(states: DataFrame) -> DataFrame:
     return states.withColumn("mean", F.col("total") / F.col("n"))
 
 
-def series_summary(points: DataFrame, kind: str | AggregateSpec) -> DataFrame:
-    """Aggregate and time span of every whole series."""
+def top_nodes(pyramid: Pyramid) -> DataFrame:
+    """One row per series and top node: what a whole series adds up to, without its points."""
+    return pyramid.nodes.filter("parent_id is null")
+
+
+def series_summary(points: DataFrame | Pyramid, kind: str | AggregateSpec = "num") -> DataFrame:
+    """Aggregate and time span of every whole series; of a pyramid, whose kind counts, from its top nodes."""
+    if isinstance(points, Pyramid):
+        return points.spec.with_finals(agg_nodes(top_nodes(points), points.spec))
     spec = spec_of(kind)
     lifted = points.select("series", "t", *spec.lifted(F.col("v")))
     summary = lifted.groupBy("series").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"), *spec.merged())
     return spec.with_finals(summary)
 
 
-def value_limits(points: DataFrame, series: Sequence[str] | None = None, kind: str = "num") -> DataFrame:
-    """Smallest and largest value over the chosen series: one row."""
-    spec = spec_of(kind)
-    chosen = points if series is None else points.filter(F.col("series").isin(*series))
-    lifted = chosen.select(*spec.lifted(F.col("v")))
+def value_limits(points: DataFrame | Pyramid, series: Sequence[str] | None = None, kind: str = "num") -> DataFrame:
+    """Smallest and largest value over the chosen series: one row; of a pyramid from its top nodes."""
+    rows = top_nodes(points) if isinstance(points, Pyramid) else points
+    chosen = rows if series is None else rows.filter(F.col("series").isin(*series))
+    lifted = chosen if isinstance(points, Pyramid) else chosen.select(*spec_of(kind).lifted(F.col("v")))
     return lifted.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def time_extent(points: DataFrame) -> DataFrame:
-    """First and last time of every series."""
+def time_extent(points: DataFrame | Pyramid) -> DataFrame:
+    """First and last time of every series; of a pyramid from its top nodes."""
+    if isinstance(points, Pyramid):
+        return top_nodes(points).groupBy("series").agg(F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t"))
     return points.groupBy("series").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"))
 
 

@@ -11,6 +11,7 @@ from tidegrid.operators.pyramid import Pyramid
 
 # A checked count of at most this many (series, node_id) rows, some 10 MB, is broadcast
 FEW_LEAVES = 100_000
+EARLIEST, LATEST = -(1 << 62), 1 << 62
 
 
 def in_range(start: Column | int, end: Column | int) -> Column:
@@ -28,7 +29,7 @@ def coarse_nodes(nodes: DataFrame, start: Column | int, end: Column | int, resol
 def query_lod(pyramid: Pyramid, start: int | None = None, end: int | None = None,
               resolution: int | None = None, ranges: DataFrame | None = None,
               look_ahead: bool = False) -> DataFrame:
-    """Rows ``(series, is_leaf, min_t, max_t, <state>)`` covering a time range.
+    """Rows ``(series, is_leaf, min_t, max_t, <state>)`` covering a time range, all times without ``start`` or ``end``.
 
     Nodes no longer than ``resolution`` are returned whole as aggregates; where level 0 is coarser than
     that, raw points with ``start <= t <= end``. The range is one for all series, or a row per series in
@@ -39,6 +40,9 @@ def query_lod(pyramid: Pyramid, start: int | None = None, end: int | None = None
     """
     spec = pyramid.spec
     nodes, points, extra = pyramid.nodes, pyramid.points, []
+    if ranges is None and resolution is None:
+        raise ValueError("a range query needs a resolution, or a table of ranges")
+    start, end = (EARLIEST if start is None else start), (LATEST if end is None else end)
     if ranges is not None:
         extra = ["start", "end", "resolution"]
         if look_ahead:  # one range around all, for the scan

@@ -81,13 +81,29 @@ class CountShape:
         return F.when(level < self.top(n), F.least(idiv(node, self.half), self.count(n, level + 1) - 1))
 
 
+@dataclass(frozen=True)
+class GridShape:
+    """Level j of a time grid has nodes of ``base_ms * fanout**j`` ms."""
+
+    base_ms: int = 60_000
+    fanout: int = FANOUT
+    levels: int = 5
+
+
 @dataclass(frozen=True)
 class Pyramid:
-    """Points with the level-0 node they are in, and the nodes of all levels."""
+    """Points with the level-0 node they are in, the nodes of all levels, and how both were cut."""
 
     points: DataFrame
     nodes: DataFrame
     spec: AggregateSpec
+    shape: CountShape | GridShape
+
+
+def _cut_by(pyramid: Pyramid, kind: type) -> CountShape | GridShape:
+    if not isinstance(pyramid.shape, kind):
+        raise ValueError(f"this operation needs a pyramid of {kind.__name__}, not {pyramid.shape}")
+    return pyramid.shape
 
 
 def _grouped(rows: DataFrame, spec: AggregateSpec, *keys: str) -> DataFrame:
@@ -138,7 +154,7 @@ def build_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", leaf_siz
     spec, shape = spec_of(kind), CountShape(leaf_size, fanout)
     placed = place_points(points, shape, bits)
     leaves = _leaves(placed, spec, "series", "series_n", "node_id").withColumn("above", F.lit(0))
-    return Pyramid(placed.drop("series_n"), _with_parents(_levels(leaves, spec, shape), shape), spec)
+    return Pyramid(placed.drop("series_n"), _with_parents(_levels(leaves, spec, shape), shape), spec, shape)
 
 
 def nodes_of_placed(points: DataFrame, spec: AggregateSpec, shape: CountShape) -> DataFrame:
@@ -159,7 +175,7 @@ def build_time_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", bas
     rows = placed.select("series", "node_id", F.col("t").alias("min_t"), F.col("t").alias("max_t"),
                          *spec.lifted(F.col("v")))
     leaves = _grouped(rows, spec, "series", "node_id")
-    return Pyramid(placed, time_levels(leaves, spec, fanout, levels), spec)
+    return Pyramid(placed, time_levels(leaves, spec, fanout, levels), spec, GridShape(base_ms, fanout, levels))
 
 
 def time_levels(leaves: DataFrame, spec: AggregateSpec, fanout: int, levels: int) -> DataFrame:
@@ -175,19 +191,17 @@ def with_grid_parent(nodes: DataFrame, fanout: int, levels: int) -> DataFrame:
     return _with_parent_span(nodes.withColumn("parent_id", parent))
 
 
-def append_time_points(pyramid: Pyramid, points: DataFrame, base_ms: int = 60_000, fanout: int = FANOUT,
-                       levels: int = 5) -> Pyramid:
-    """A time-grid pyramid with more points: new nodes merge into the ones they share."""
-    spec = pyramid.spec
-    new = build_time_pyramid(points, spec, base_ms, fanout, levels)
+def append_time_points(pyramid: Pyramid, points: DataFrame) -> Pyramid:
+    """A time-grid pyramid with more points, on its own grid: new nodes merge into the ones they share."""
+    spec, shape = pyramid.spec, _cut_by(pyramid, GridShape)
+    new = build_time_pyramid(points, spec, shape.base_ms, shape.fanout, shape.levels)
     keys = ["series", "level", "node_id"]
     both = pyramid.nodes.drop("parent_id", "parent_span").unionByName(new.nodes.drop("parent_id", "parent_span"))
-    nodes = with_grid_parent(_grouped(both, spec, *keys), fanout, levels)
-    return Pyramid(pyramid.points.unionByName(new.points), nodes, spec)
+    nodes = with_grid_parent(_grouped(both, spec, *keys), shape.fanout, shape.levels)
+    return Pyramid(pyramid.points.unionByName(new.points), nodes, spec, shape)
 
 
-def append_delta(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int = LEAF_SIZE,
-                 fanout: int = FANOUT, bits: int = SLAB_BITS) -> Pyramid:
+def append_delta(pyramid: Pyramid, points: DataFrame, pos: str, bits: int = SLAB_BITS) -> Pyramid:
     """What later points change in a count-based pyramid: the rows to ``upsert``.
 
     ``points`` arrive in ``pos`` order; those not later than what their series holds are dropped. All nodes
@@ -195,7 +209,7 @@ def append_delta(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int =
     only the last leaf's points are read again, and a few final nodes per level (those whose parent is
     not final) join the new leaves in making up the rest.
     """
-    spec, shape = pyramid.spec, CountShape(leaf_size, fanout)
+    spec, shape = pyramid.spec, _cut_by(pyramid, CountShape)
     level, old_n = F.col("level"), F.col("old_n")
     held = pyramid.nodes.filter("parent_id is null").select(
         "series", F.col("n_points").alias("old_n"), F.col("max_t").alias("last_t"))
@@ -227,7 +241,7 @@ def append_delta(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int =
              .unionByName(_leaves(placed, spec, "series", "series_n", "node_id").withColumn("above", F.lit(0))))
     changed = edge.select(*columns).unionByName(_levels(parts, spec, shape).select(*columns))
     return Pyramid(placed.select(*pyramid.points.columns),
-                   _with_parents(changed, shape).select(*pyramid.nodes.columns), spec)
+                   _with_parents(changed, shape).select(*pyramid.nodes.columns), spec, shape)
 
 
 def upsert(pyramid: Pyramid, delta: Pyramid) -> Pyramid:
@@ -235,13 +249,12 @@ def upsert(pyramid: Pyramid, delta: Pyramid) -> Pyramid:
     nodes = pyramid.nodes.join(delta.nodes, ["series", "level", "node_id"], "left_anti").unionByName(delta.nodes)
     replaced = delta.points.groupBy("series").agg(F.min("pos").alias("_from"))
     stay = pyramid.points.join(replaced, "series", "left").filter("_from is null or pos < _from").drop("_from")
-    return Pyramid(stay.unionByName(delta.points), nodes, pyramid.spec)
+    return Pyramid(stay.unionByName(delta.points), nodes, pyramid.spec, pyramid.shape)
 
 
-def append_points(pyramid: Pyramid, points: DataFrame, pos: str, leaf_size: int = LEAF_SIZE,
-                  fanout: int = FANOUT, bits: int = SLAB_BITS) -> Pyramid:
+def append_points(pyramid: Pyramid, points: DataFrame, pos: str, bits: int = SLAB_BITS) -> Pyramid:
     """A count-based pyramid with later points added; equals building it from all points at once."""
-    return upsert(pyramid, append_delta(pyramid, points, pos, leaf_size, fanout, bits))
+    return upsert(pyramid, append_delta(pyramid, points, pos, bits))
 
 
 def pyramid_stats(nodes: DataFrame) -> DataFrame:
@@ -251,9 +264,9 @@ def pyramid_stats(nodes: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("level") == 0, F.col("n"))).cast("long").alias("n"))
 
 
-def validate_pyramid(pyramid: Pyramid, leaf_size: int = LEAF_SIZE, fanout: int = FANOUT) -> DataFrame:
-    """Violations ``(series, level, node_id, problem)`` of a count-based pyramid; none when it is sound."""
-    spec = pyramid.spec
+def validate_pyramid(pyramid: Pyramid) -> DataFrame:
+    """Violations ``(series, level, node_id, problem)`` of a count-based pyramid by its own shape; none when it is sound."""
+    spec, shape = pyramid.spec, _cut_by(pyramid, CountShape)
     key = ["series", "level", "node_id"]
     state = ["min_t", "max_t", *spec.state]
     rows = pyramid.points.select("series", F.lit(0).alias("level"), "node_id", F.col("t").alias("min_t"),
@@ -280,7 +293,7 @@ def validate_pyramid(pyramid: Pyramid, leaf_size: int = LEAF_SIZE, fanout: int =
     aggregate = F.lit(False)
     for c in spec.state:
         aggregate = aggregate | differs(c)
-    size = F.col("_size") > F.when(F.col("level") == 0, F.lit(leaf_size)).otherwise(F.lit(fanout))
+    size = F.col("_size") > F.when(F.col("level") == 0, F.lit(shape.leaf_size)).otherwise(F.lit(shape.fanout))
     problem = (F.when(F.col("_stored").isNull(), "missing").when(F.col("_size").isNull(), "empty")
                .when(bounds, "bounds").when(size, "size").when(F.coalesce(aggregate, F.lit(False)), "aggregate"))
     wrong = both.select(*key, problem.alias("problem")).filter("problem is not null")

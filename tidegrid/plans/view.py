@@ -93,21 +93,23 @@ def timed_view(pyramid: Pyramid, port: Viewport) -> tuple[DataFrame, list[Stage]
 
 
 class ViewCache:
-    """Keeps the rows of the latest viewport until another one is asked for."""
+    """Keeps the rows of the latest viewport and series until others are asked for."""
 
     def __init__(self, pyramid: Pyramid) -> None:
         self._pyramid = pyramid
-        self._port: Viewport | None = None
+        self._asked: tuple[Viewport, frozenset[str] | None] | None = None
         self._rows: DataFrame | None = None
 
-    def get(self, port: Viewport) -> DataFrame:
-        if port != self._port:
+    def get(self, port: Viewport, series: Sequence[str] | None = None) -> DataFrame:
+        asked = port, None if series is None else frozenset(series)
+        if asked != self._asked:
             self.clear()
-            self._rows = view(self._pyramid, port).persist(StorageLevel.MEMORY_AND_DISK)
-            self._port = port
+            chosen = self._pyramid if series is None else choose(self._pyramid, series)
+            self._rows = view(chosen, port).persist(StorageLevel.MEMORY_AND_DISK)
+            self._asked = asked
         return self._rows
 
     def clear(self) -> None:
         if self._rows is not None:
             self._rows.unpersist()
-        self._port = self._rows = None
+        self._asked = self._rows = None

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.plans.view import view
 from tidegrid.registry import EVENTS, events, query, rounded, table
+from tidegrid.registry.pyramids import GRID
+from tidegrid.registry.views import LOD_SQL, PORT, SHOWN_SQL
 from tidegrid.session import new_folder
 from tidegrid.sources.tables import as_series, millis
 from tidegrid.sources.wide_csv import read_layout
@@ -77,15 +80,7 @@ def stream_drop_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
-@query(f"""WITH {EVENTS}, gl AS (SELECT series, t // 600000 AS leaf, min(t) AS min_t, max(t) AS max_t, min(v) AS lo,
-  max(v) AS hi, count(*) AS n, sum(v) AS total FROM ev GROUP BY 1, 2),
-gn AS (SELECT series, level, leaf // CAST(pow(16, level) AS BIGINT) AS node_id, min(min_t) AS min_t, max(max_t) AS max_t,
-  min(lo) AS lo, max(hi) AS hi, CAST(sum(n) AS BIGINT) AS n, round(sum(total), 4) AS total
-  FROM gl CROSS JOIN (SELECT unnest(range(0, 4))::INTEGER AS level) GROUP BY 1, 2, 3),
-gp AS (SELECT *, CASE WHEN level < 3 THEN node_id // 16 END AS parent_id FROM gn)
-SELECT *, CASE WHEN parent_id IS NOT NULL THEN max(max_t) OVER p - min(min_t) OVER p END AS parent_span FROM gp
-  WINDOW p AS (PARTITION BY series, level, parent_id)""")
-def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _appended(spark: SparkSession, sf_dir: str) -> append.Pyramid:
     """Events arriving as several files, one per micro-batch."""
     path = new_folder(spark, "append")
     table(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(f"{path}/in")
@@ -93,7 +88,40 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
            .parquet(f"{path}/in"))
     points = as_series(raw, "event_type", "ts", "value")
     _run_batches(points, path, append.append_batches(f"{path}/out", "num", 600_000, 16, 4))
-    return rounded(append.read_appended(spark, f"{path}/out", "num", 16, 4), "total")
+    return append.read_appended(spark, f"{path}/out")
+
+
+@query(f"WITH {EVENTS}, {GRID} SELECT * FROM gd")
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_appended(spark, sf_dir).nodes, "total")
+
+
+@query(f"""WITH {EVENTS}, {GRID}, nd AS (SELECT * FROM gd), pl AS (SELECT series, t, v, t // 600000 AS node_id FROM ev),
+{LOD_SQL}, {SHOWN_SQL} SELECT * FROM se""")
+def stream_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view over a pyramid that a stream has appended to."""
+    return rounded(view(_appended(spark, sf_dir), PORT), "total")
+
+
+@query("""WITH f AS (SELECT *, event_id * 3 // (SELECT count(*) FROM events) AS part, xor(event_id, 63) AS pos,
+  CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT) AS t FROM events)
+SELECT 'value' AS series, t, value AS v FROM f QUALIFY coalesce(t > max(t) OVER (ORDER BY part, pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)""")
+def stream_guarded_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files that arrive one after the other, some points out of order, through the loader and the guard."""
+    raw = table(spark, sf_dir, "events")
+    ms, n = millis(raw, "ts"), raw.count()
+    path = new_folder(spark, "guarded-csv")
+    for part in range(3):
+        own = raw.filter(F.floor(F.col("event_id") * 3 / F.lit(n)) == part)
+        (own.orderBy(F.col("event_id").bitwiseXOR(F.lit(63))).coalesce(1)
+         .select((ms.cast("decimal(20,3)") / 1000).cast("decimal(20,3)").alias("time"), "value")
+         .write.option("header", True).csv(f"{path}/in/part-{part}"))
+    layout = read_layout(spark, f"{path}/in/part-0")
+    cells = ingest.stream_cells(spark, f"{path}/in/part-*", layout, files_per_batch=1)
+    guard = ingest.guard_batches(f"{path}/state", ingest.parquet_sink(f"{path}/out"), "pos")
+    _run_batches(cells, path, ingest.melt_batches(layout, {"num": guard}))
+    return spark.read.parquet(f"{path}/out").select("series", "t", "v")
 
 
 @query("SELECT 'value' AS series, CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT) AS t, value AS v FROM events")

@@ -11,6 +11,7 @@ from tidegrid.plans import chart, view as vw
 from tidegrid.registry import EVENTS, VECTORS, events, languages, query, rounded, vectors
 from tidegrid.registry.pyramids import LOD, NUM_PYRAMID, stored
 from tidegrid.registry.timelines import RUNS, sections_sql
+from tidegrid.session import materialize
 
 # 2024-01-05 to 2024-01-25 on 960 pixels, cut at six hours
 PORT = vw.Viewport(1704412800000, 1706140800000, 960, 21_600_000)
@@ -19,9 +20,10 @@ FRAME = chart.Frame(960, 400, PORT.start, PORT.end, 0.0, 500.0)
 _RESAMPLED = """rs AS (SELECT series, count(*) = 1 AND bool_and(is_leaf) AS is_leaf, min(min_t) AS min_t,
   max(max_t) AS max_t, min(lo) AS lo, max(hi) AS hi, CAST(sum(n) AS BIGINT) AS n, round(sum(total), 4) AS total
   FROM lod GROUP BY series, min_t // {res}, max_t // {res})"""
-_LOD = LOD.format(start=PORT.start, end=PORT.end, res=PORT.resolution)
-_VIEW = f"""{EVENTS}, {NUM_PYRAMID}, {_LOD}, {_RESAMPLED.format(res=PORT.resolution)},
+LOD_SQL = LOD.format(start=PORT.start, end=PORT.end, res=PORT.resolution)
+SHOWN_SQL = f"""{_RESAMPLED.format(res=PORT.resolution)},
 {sections_sql('rs', 'se', PORT.gap_ms)}"""
+_VIEW = f"{EVENTS}, {NUM_PYRAMID}, {LOD_SQL}, {SHOWN_SQL}"
 
 
 def _pyramid(spark: SparkSession, sf_dir: str) -> vw.Pyramid:
@@ -56,9 +58,9 @@ rs AS (SELECT series, count(*) = 1 AND bool_and(is_leaf) AS is_leaf, min(min_t)
 {sections_sql('rs', 'se', PORT.gap_ms)} SELECT * FROM se""")
 def view_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series over its own whole time range, at its own resolution."""
-    ranges = time_extent(events(spark, sf_dir)).select(
-        "series", F.col("min_t").alias("start"), F.col("max_t").alias("end"))
-    return rounded(vw.view_ranges(_pyramid(spark, sf_dir), ranges, 320, PORT.gap_ms), "total")
+    pyramid = _pyramid(spark, sf_dir)
+    ranges = time_extent(pyramid).select("series", F.col("min_t").alias("start"), F.col("max_t").alias("end"))
+    return rounded(vw.view_ranges(pyramid, materialize(ranges, "ranges"), 320, PORT.gap_ms), "total")
 
 
 @query(f"""WITH {_VIEW}, c AS (SELECT series, count(*) AS n_nodes FROM lod GROUP BY series)
