@@ -9,7 +9,7 @@ from tidegrid.operators.resample import resample_points
 from tidegrid.operators.sections import section_by_gap
 
 FAR = 2**31 - 1
-INTERVALS = [(0, 2), (9, 11), (15, 20)]
+INTERVALS = [(30, 34), (51, 58), (77, 77)]
 
 
 def find(spark, probes, tolerance, intervals=INTERVALS, bits=3):
@@ -21,24 +21,24 @@ def find(spark, probes, tolerance, intervals=INTERVALS, bits=3):
 
 
 def test_contained(spark):
-    assert find(spark, [10, 11, 9, 1, 19], 0) == [(1, "contained", 0, 0), (9, "contained", 1, 0),
-                                                  (10, "contained", 1, 0), (11, "contained", 1, 0), (19, "contained", 2, 0)]
+    assert find(spark, [34, 77, 30, 51, 32], 0) == [(30, "contained", 0, 0), (32, "contained", 0, 0), (34, "contained", 0, 0),
+                                                    (51, "contained", 1, 0), (77, "contained", 2, 0)]
 
 
 def test_before_and_after(spark):
-    assert find(spark, [21, 1000, 12, 4], FAR) == [(4, "before", 0, 2), (12, "before", 1, 1), (21, "before", 2, 1),
-                                                   (1000, "before", 2, 980)]
-    assert find(spark, [-1, -1000, 6, 14], FAR) == [(-1000, "after", 0, 1000), (-1, "after", 0, 1), (6, "after", 1, 3),
-                                                    (14, "after", 2, 1)]
+    assert find(spark, [78, 900, 36, 64], FAR) == [(36, "before", 0, 2), (64, "before", 1, 6), (78, "before", 2, 1),
+                                                   (900, "before", 2, 823)]
+    assert find(spark, [70, 29, -400, 47], FAR) == [(-400, "after", 0, 430), (29, "after", 0, 1), (47, "after", 1, 4),
+                                                    (70, "after", 2, 7)]
 
 
 def test_tolerance_edges(spark):
-    assert find(spark, [1000, -1000], 1000) == [(-1000, "after", 0, 1000), (1000, "before", 2, 980)]
-    assert find(spark, [1000], 979) == [] and find(spark, [-1000], 999) == []
+    assert find(spark, [900, -400], 823) == [(-400, "after", 0, 430), (900, "before", 2, 823)]
+    assert find(spark, [900], 822) == [] and find(spark, [-400], 429) == []
 
 
 def test_tie_goes_to_after(spark):
-    assert find(spark, [4], 5, [(0, 2), (6, 8)]) == [(4, "after", 1, 2)]
+    assert find(spark, [40], 9, [(30, 34), (46, 50)]) == [(40, "after", 1, 6)]
 
 
 def brute(probes, intervals, tolerance):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.scan import SLAB_BITS, last_before, next_after, ordered_scan
+from tidegrid.session import materialize
 
 CURSOR_SNAP_PX = 16  # how far a cursor snaps
 
@@ -27,17 +28,22 @@ def nearest_interval_join(probes: DataFrame, intervals: DataFrame, tolerance: Co
     goes to the interval after the probe; a probe without an interval within ``tolerance`` gives no row.
 
     Distinct probe times and intervals are merged into one ordered sequence and scanned in both
-    directions, so neither the tolerance nor the length of an interval multiplies rows.
+    directions, so neither the tolerance nor the length of an interval multiplies rows. Only the intervals that
+    the probes' first and last time and the tolerance allow are read, once, and written to the shared folder; the
+    scan carries their times, and the ``keep`` columns are joined to what was found.
     """
+    if not isinstance(tolerance, Column):
+        asked = probes.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+        if asked["low"] is not None:
+            intervals = intervals.filter((F.col("max_t") >= asked["low"] - tolerance) &
+                                         (F.col("min_t") <= asked["high"] + tolerance))
+    intervals = materialize(intervals.select("series", "min_t", "max_t", *keep), "intervals")
     # the even order of a time is its interval, the odd one its probe: an interval beginning at t comes first
-    payload = F.struct(*keep) if keep else F.lit(True)
-    begins = intervals.select("series", (F.col("min_t") * 2).alias("_at"), "min_t", "max_t", payload.alias("_iv"))
+    begins = intervals.select("series", (F.col("min_t") * 2).alias("_at"), "min_t", "max_t")
     asks = probes.select("series", "t").distinct().select("series", (F.col("t") * 2 + 1).alias("_at"))
     begin, end = F.col("min_t"), F.col("max_t")
     carries = {"_b_min": last_before(begin), "_b_max": last_before(end),
                "_a_min": next_after(begin), "_a_max": next_after(end)}
-    if keep:
-        carries |= {"_b_iv": last_before(F.col("_iv")), "_a_iv": next_after(F.col("_iv"))}
     scanned = ordered_scan(begins.unionByName(asks, allowMissingColumns=True), ["series"], "_at", carries, bits)
     sides = scanned.filter(F.col("min_t").isNull()).select("series", F.shiftright("_at", 1).alias("t"), *carries)
 
@@ -59,8 +65,11 @@ def nearest_interval_join(probes: DataFrame, intervals: DataFrame, tolerance: Co
 
     distance = F.when(inside, F.lit(0).cast("long")).when(
         F.col("kind") == "after", F.col("_after")).otherwise(F.col("_before"))
-    return found.select(*probes.columns, "kind", distance.alias("distance"), chosen("min").alias("min_t"),
-                        chosen("max").alias("max_t"), *[chosen("iv")[c].alias(c) for c in keep])
+    found = found.select(*probes.columns, "kind", distance.alias("distance"), chosen("min").alias("min_t"),
+                         chosen("max").alias("max_t"))
+    if not keep:
+        return found
+    return found.join(intervals.select("series", "min_t", *keep), ["series", "min_t"]).select(*found.columns, *keep)
 
 
 def nearest_value(probes: DataFrame, sectioned: DataFrame, tolerance: Column | int,

@@ -11,6 +11,7 @@ from tidegrid.operators.intervals import merge_intervals as merged
 from tidegrid.operators.scan import split_by
 from tidegrid.registry import (EVENTS, LANGUAGES, ROLES, SHIPMENTS, VECTORS, events, languages, query, roles,
                                rounded, shipments, table, vectors)
+from tidegrid.session import materialize
 from tidegrid.sources.tables import as_series
 
 HOUR, GAP = 3_600_000, 7_200_000
@@ -119,7 +120,7 @@ ru AS (SELECT * EXCLUDE (starts), CAST(sum(CAST(starts AS INTEGER)) OVER (PARTIT
 
 @query(f"WITH {EVENTS}, {HOURS}, {SECTIONS}, {RUNS} SELECT * FROM ru")
 def runs_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sec.runs_by_kind(_sections(spark, sf_dir))
+    return sec.runs_by_kind(materialize(_sections(spark, sf_dir), "sections"))
 
 
 @query(f"""WITH {ROLES}, f AS (SELECT *, coalesce(v <> lag(v) OVER (PARTITION BY series ORDER BY t), false) AS starts FROM ro)
