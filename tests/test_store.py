@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import pyramid as pyr
-from tidegrid.session import materialize, new_folder, shared_dir
+from tidegrid.session import cleared, materialize, new_folder, shared_dir
 from tidegrid.sources.store import read_points, read_pyramid, store_pyramid, write_points, write_pyramid
 from tidegrid.sources.tables import as_series
 
@@ -60,3 +62,11 @@ def test_shape_and_kind_are_stored(spark, tmp_path, points):
         read_pyramid(spark, path, "str")
     with pytest.raises(ValueError, match="holds a pyramid"):
         store_pyramid(points([(1, 1)]), path, "num", 4, 4)
+
+
+def test_written_folders_are_cleared(spark, points):
+    with cleared(spark):
+        kept = materialize(points([(1, 1)]), "scratch")
+        files = kept.inputFiles()
+        assert kept.count() == 1 and all(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)

@@ -191,12 +191,12 @@ def user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_csv(df: DataFrame, name: str) -> str:
-    path = new_folder(df.sparkSession, name)
+    path = f"{new_folder(df.sparkSession, name)}/{name}.csv"
     df.write.option("header", True).csv(path)
     return path
 
 
-def _events_csv(spark: SparkSession, sf_dir: str) -> str:
+def events_csv(spark: SparkSession, sf_dir: str) -> str:
     raw = table(spark, sf_dir, "events")
     ms = millis(raw, "ts")
     return _written_csv(raw.select((ms.cast("decimal(20,3)") / 1000).cast("decimal(20,3)").alias("time"),
@@ -207,7 +207,7 @@ def _events_csv(spark: SparkSession, sf_dir: str) -> str:
 @query("""SELECT CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT) AS t, 'value' AS series, value AS v FROM events
 UNION ALL SELECT CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT), 'user', CAST(user_id AS DOUBLE) FROM events""")
 def melt_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _events_csv(spark, sf_dir)
+    path = events_csv(spark, sf_dir)
     layout = wide_csv.read_layout(spark, path)
     return wide_csv.melt_numeric(wide_csv.read_wide_csv(spark, path, layout.header), layout).drop("file", "pos")
 
@@ -215,7 +215,7 @@ def melt_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT) AS t, 'type' AS series, event_type AS v
 FROM events""")
 def melt_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _events_csv(spark, sf_dir)
+    path = events_csv(spark, sf_dir)
     layout = wide_csv.read_layout(spark, path)
     return wide_csv.melt_string(wide_csv.read_wide_csv(spark, path, layout.header), layout).drop("file", "pos")
 
@@ -240,7 +240,7 @@ def load_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of part files, some points out of order; the parts follow each other by name."""
     raw = table(spark, sf_dir, "events").withColumn("pos", F.col("event_id").bitwiseXOR(F.lit(15)))
     ms = millis(raw, "ts")
-    path = new_folder(spark, "parts") + ".csv"
+    path = f"{new_folder(spark, 'parts')}/events.csv"
     (raw.repartitionByRange(4, "pos").sortWithinPartitions("pos")
      .select((ms.cast("decimal(20,3)") / 1000).cast("decimal(20,3)").alias("time"), "value",
              F.col("event_type").alias("type"), F.col("user_id").alias("user")).write.option("header", True).csv(path))
@@ -251,5 +251,5 @@ def load_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
        unnest(['num', 'str', 'num', NULL]) AS kind""")
 def infer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of all columns of the events file, from every row instead of the first ones."""
-    layout = wide_csv.read_layout(spark, _events_csv(spark, sf_dir), sample_rows=None)
+    layout = wide_csv.read_layout(spark, events_csv(spark, sf_dir), sample_rows=None)
     return spark.createDataFrame(list(zip(layout.header[1:], layout.kinds)), "name STRING, kind STRING")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_MADE: dict[str, list[str]] = {}  # folders by application
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``new_folder`` and ``materialize`` make inside are deleted at the end; results must be out by then."""
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for folder in made[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        del made[before:]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
