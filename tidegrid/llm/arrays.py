@@ -33,6 +33,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes of text whose arrays are held and sorted together.
+HELD = 8 << 20
+
+
+def held(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = HELD) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about ``limit`` bytes of text; a longer single text is one of its own."""
+    for batch in batches:
+        offsets, row = text_bytes(batch.column(text))[1], 0
+        while row < len(batch):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Rows taken together until they reach ``limit`` bytes: first row, bytes, offsets."""
     data, offsets = text_bytes(column)

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.arrays import U, blocks, byte_values, mix, text_bytes, window_minima
+from tidegrid.llm.arrays import U, blocks, byte_values, held, mix, window_minima
 from tidegrid.llm.exchange import (PACKS, bucket_count, bucket_of, identified, new_group, pack, packed_batch, tagged,
-                                   unpack_tagged)
-from tidegrid.llm.ranges import RANGE_KINDS, RANGES, STRING_KINDS, first_strings, merged, range_table
+                                   unpack_tagged, with_ids)
+from tidegrid.llm.ranges import (RANGE_KINDS, RANGES, STRING_KINDS, first_strings, merged, range_table, spans_of,
+                                 string_batches, with_spans)
 from tidegrid.llm.workers import map_batches, map_groups
 from tidegrid.session import materialize
 
@@ -123,9 +124,11 @@ def sort_anchors(columns: list[np.ndarray], last: bool) -> tuple[list[np.ndarray
         flag = flag.copy()
         flag[np.flatnonzero(kept)[open_ & first]] = 1
     at = np.flatnonzero(kept)
+    going = at[on]
+    going = going[np.lexsort((lo[going], row[going]))]  # by place, as packs like it
     ranges = [np.concatenate([c[covered], c[at[open_]]]) for c in (row, lo.astype(np.int64), hi)]
     ranges.append(np.concatenate([np.zeros(covered.sum(), bool), np.ones(open_.sum(), bool)]))
-    return [c[at[on]] for c in (name, context, row, lo, more, flag)], ranges
+    return [c[going] for c in (name, context, row, lo, more, flag)], ranges
 
 
 def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
@@ -143,30 +146,34 @@ def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
         return range_table(*(np.concatenate(x) for x in zip(ranges, passed, strict=True)))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held(batches):
             yield dealt(*sort_anchors(anchors(batch.column("text"), batch.column("row_id").to_numpy()), False))
 
     def ranked(table: pa.Table) -> pa.Table:
         packs = table["pack"].to_pylist()
         return joined(packs, sort_anchors(unpack_tagged(packs, b"s", ANCHOR_KINDS), True)[1])
 
+    def strings_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        row_id, spans = batch.column("row_id").to_numpy(), batch.column("spans").to_pylist()
+        for first, data, offsets in blocks(batch.column("text"), PIECE):
+            for base in range(0, len(data), PIECE):  # a long text in pieces, else once
+                end = min(len(data), base + PIECE + LENGTH - 1) if len(data) > PIECE else len(data)
+                row, at = [], []
+                for i in range(len(offsets) - 1):
+                    for lo, hi in merged([(s["lo"], s["hi"]) for s in spans[first + i]], LENGTH - 1):
+                        lo, hi = max(lo, base), min(hi - LENGTH + 1, base + PIECE if len(data) > PIECE else hi)
+                        if lo < hi:
+                            row.append(np.full(hi - lo, i))
+                            at.append(np.arange(lo, hi))
+                if at:
+                    row, at = np.concatenate(row), np.concatenate(at)
+                    piece, place = data[base:end], offsets[row] + at - base
+                    yield whole_names(piece, place, 0), whole_names(piece, place, 1) >> U(32), row_id[first + row], at
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row_id = batch.column("row_id").to_numpy()
-            data, offsets = text_bytes(batch.column("text"))
-            parts: list[list[np.ndarray]] = [[] for _ in STRING_KINDS]
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                for lo, hi in merged([(s["lo"], s["hi"]) for s in spans], LENGTH - 1):
-                    own = data[offsets[i] + lo:offsets[i] + hi]
-                    for b in range(0, hi - lo - LENGTH + 1, PIECE):
-                        piece = own[b:b + PIECE + LENGTH - 1]
-                        at = np.arange(len(piece) - LENGTH + 1)
-                        for part, values in zip(parts, (whole_names(piece, at, 0), whole_names(piece, at, 1),
-                                                        np.full(len(at), row_id[i]), at + (lo + b)), strict=True):
-                            part.append(values)
-            if parts[0]:
-                yield dealt(*first_strings([np.concatenate(p).astype(k) for p, k in zip(parts, STRING_KINDS, strict=True)],
-                                           LENGTH))
+        for batch in held(batches):
+            for columns in string_batches(strings_of(batch)):
+                yield dealt(*first_strings(columns, LENGTH))
 
     def grouped(table: pa.Table) -> pa.Table:
         packs = table["pack"].to_pylist()
@@ -174,8 +181,10 @@ def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
 
     decided = materialize(map_groups(map_batches(read, sampled, PACKS), "bucket", ranked, RANGES), "anchors")
     # a document's ranges are fewer than its bytes
-    left = decided.filter("open").groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    found = map_groups(map_batches(read.join(left, "row_id"), strings, PACKS), "bucket", grouped, RANGES)
+    left = materialize(decided.filter("open").groupBy("row_id")
+                       .agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "open-ranges")
+    asked, _ = with_ids(read, left.select("row_id"))
+    found = map_groups(map_batches(asked.join(left, "row_id"), strings, PACKS), "bucket", grouped, RANGES)
     return decided.filter("NOT open").unionAll(found).drop("open")
 
 
@@ -187,8 +196,8 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     document and give equal rows; see ``identified`` for rows of one doc_id and none. An empty table gives an empty one.
     With ``digest`` the bytes left come as ``kept_sha256``. What is left need not be UTF-8, so it is not text.
     """
-    rows, size = identified(docs)
-    spans = repeated_ranges(rows, size).groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    rows, size, _ = identified(docs)
+    spans = spans_of(repeated_ranges(rows, size))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +218,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
                  pa.array(count, pa.int64()), last], ["doc_id", "n_bytes", "n_removed", "n_spans", last_name])
 
     last_name = "kept_sha256" if digest else "kept"
-    return map_batches(rows.join(spans, "row_id", "left").select("doc_id", "text", "spans"), cut,
+    return map_batches(with_spans(rows, spans).select("doc_id", "text", "spans"), cut,
                        f"doc_id long, n_bytes long, n_removed long, n_spans long, {last_name} {'string' if digest else 'binary'}")
 
 

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.arrays import U, Words, blocks, mix, run_hashes, text_bytes, window_minima
+from tidegrid.llm.arrays import U, Words, blocks, held, mix, run_hashes, text_bytes, window_minima
 from tidegrid.llm.exchange import (PACKS, bucket_count, bucket_of, identified, new_group, pack, packed_batch, tagged,
-                                   unpack_tagged)
-from tidegrid.llm.ranges import RANGE_KINDS, RANGES, STRING_KINDS, first_strings, merged, range_table
+                                   unpack_tagged, with_ids)
+from tidegrid.llm.ranges import (RANGE_KINDS, RANGES, STRING_KINDS, first_strings, merged, range_table, spans_of,
+                                 string_batches, with_spans)
 from tidegrid.llm.workers import map_batches, map_groups
-from tidegrid.session import materialize
 
 WINDOW, ANCHOR = 20, 10
 #: Words worked on together; a place in them has PLACE bits.
@@ -72,7 +72,9 @@ def sketched(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarr
     new = new_group(h)
     n = np.bincount(np.cumsum(new) - 1, minlength=1)[np.cumsum(new) - 1] if len(h) else np.zeros(0, int)
     again = n > 1
-    return ([h[new], row[new], lo[new], more[new], np.minimum(n[new], 2).astype(np.uint8)],
+    kept = np.flatnonzero(new)
+    kept = kept[np.lexsort((lo[kept], row[kept]))]  # by place, as packs like it
+    return ([h[kept], row[kept], lo[kept], more[kept], np.minimum(n[kept], 2).astype(np.uint8)],
             _windows(row[again], lo[again], more[again]))
 
 
@@ -105,29 +107,27 @@ def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
         return range_table(*(np.concatenate(x) for x in zip(ranges, passed, strict=True)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held(batches):
             yield dealt(*sketched(anchors(batch.column("text"), batch.column("row_id").to_numpy())))
 
     def sliced(table: pa.Table) -> pa.Table:
         packs = table["pack"].to_pylist()
         return joined(packs, estimated(unpack_tagged(packs, b"s", _KINDS)))
 
+    def windows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        row_id = batch.column("row_id").to_numpy()
+        data, offsets = text_bytes(batch.column("text"))
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
+            words = Words(data[offsets[i]:offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+            at = np.concatenate([np.arange(lo, hi - WINDOW + 1) for lo, hi in
+                                 merged([(s["lo"], s["hi"]) for s in spans], WINDOW - 1)])
+            yield (run_hashes(words.hashes(0), WINDOW, 0)[at], run_hashes(words.hashes(1), WINDOW, 1)[at] >> U(32),
+                   np.full(len(at), row_id[i]), at)
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row_id = batch.column("row_id").to_numpy()
-            data, offsets = text_bytes(batch.column("text"))
-            parts: list[list[np.ndarray]] = [[] for _ in STRING_KINDS]
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                words = Words(data[offsets[i]:offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                at = np.concatenate([np.arange(lo, hi - WINDOW + 1) for lo, hi in
-                                     merged([(s["lo"], s["hi"]) for s in spans], WINDOW - 1)])
-                for part, values in zip(parts, (run_hashes(words.hashes(0), WINDOW, 0)[at],
-                                                run_hashes(words.hashes(1), WINDOW, 1)[at],
-                                                np.full(len(at), row_id[i]), at), strict=True):
-                    part.append(values)
-            if parts[0]:
-                yield dealt(*first_strings([np.concatenate(p).astype(k) for p, k in zip(parts, STRING_KINDS, strict=True)],
-                                           WINDOW))
+        for batch in held(batches):
+            for columns in string_batches(windows_of(batch)):
+                yield dealt(*first_strings(columns, WINDOW))
 
     def grouped(table: pa.Table) -> pa.Table:
         packs = table["pack"].to_pylist()
@@ -135,9 +135,10 @@ def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
 
     asked = map_groups(map_batches(read, counted, PACKS), "bucket", sliced, RANGES)
     # a document's ranges are fewer than its words
-    left = asked.groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    found = map_groups(map_batches(read.join(left, "row_id"), windows, PACKS), "bucket", grouped, RANGES)
-    return materialize(found.drop("open"), "windows")
+    left = spans_of(asked)
+    asked, _ = with_ids(read, left.select("row_id"))
+    found = map_groups(map_batches(asked.join(left, "row_id"), windows, PACKS), "bucket", grouped, RANGES)
+    return found.drop("open")
 
 
 def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -148,8 +149,8 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     text has no words; texts under WINDOW words keep all; repeated rows are one document and give equal rows; see
     ``identified`` for rows of one doc_id and none. An empty table gives an empty one. With ``digest``, ``kept_sha256`` instead.
     """
-    rows, size = identified(docs)
-    spans = repeated_ranges(rows, size).groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    rows, size, _ = identified(docs)
+    spans = spans_of(repeated_ranges(rows, size))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +169,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
                                              ["doc_id", "n_words", "n_removed", last_name])
 
     last_name = "kept_sha256" if digest else "kept"
-    return map_batches(rows.join(spans, "row_id", "left").select("doc_id", "text", "spans"), cut,
+    return map_batches(with_spans(rows, spans).select("doc_id", "text", "spans"), cut,
                        f"doc_id long, n_words long, n_removed long, {last_name} string")
 
 
