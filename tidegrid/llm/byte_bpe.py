@@ -18,9 +18,8 @@ import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidegrid.llm.workers import map_batches
+from tidegrid.llm.workers import map_batches, texts_of
 
 #: Distinct pre-tokens remembered by a worker, and the longest that is.
 KEPT, KEPT_CHARS = 1 << 19, 64
@@ -159,7 +158,7 @@ def _coded(docs, model, pattern, row, names, kinds, schema) -> DataFrame:
                     [part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
                     ["doc_id", *names])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), code, schema)
+    return map_batches(texts_of(docs), code, schema)
 
 
 def multi_model() -> bytes:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.arrays import U, Words, blocks, run_hashes
-from tidegrid.llm.workers import map_batches, map_groups
+from tidegrid.llm.workers import map_batches, map_groups, texts_of
 
 BITS = 16
 SIZE = 1 << BITS
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first + begin, len(s)), pa.array(s)],
                                                      ["doc_id", "score"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scored, "doc_id long, score double")
+    return map_batches(texts_of(docs), scored, "doc_id long, score double")
 
 
 def fold(doc_id) -> F.Column:

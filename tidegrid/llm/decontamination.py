@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.arrays import U, Words, blocks
-from tidegrid.llm.workers import map_batches
+from tidegrid.llm.workers import map_batches, texts_of
 
 SEED = 5
 COVERAGE = 0.5
@@ -152,8 +152,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE)
                         ["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage", "contaminated"])
         return run
 
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = [map_batches(read, find(block), OVERLAPS) for block in benchmark_blocks(benchmark)]
+    parts = [map_batches(texts_of(docs), find(block), OVERLAPS) for block in benchmark_blocks(benchmark)]
     if not parts:
         return docs.sparkSession.createDataFrame([], OVERLAPS)
     while len(parts) > 1:

@@ -15,9 +15,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidegrid.llm.workers import map_batches
+from tidegrid.llm.workers import map_batches, texts_of
 
 ROUNDS = 8
 DEMO_KEY = b"tidegrid pseudonyms"  # a run that matters brings its own
@@ -205,7 +204,8 @@ MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z
                   r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS_KEY = re.compile(r"(?<!\w)(AKIA|ASIA)([A-Z0-9]{16})(?!\w)")
-ASSIGNED = re.compile(r"(?i)((?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?)([A-Za-z0-9+/_.~-]{8,})")
+ASSIGNED = re.compile(r"(?i)((?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?)"
+                      r"([A-Za-z0-9+/_.~-]{8,})")
 _WORDS = re.compile(r"(?i)passw|pwd|secret|token|api.?key")
 
 
@@ -297,7 +297,8 @@ def pseudonym_report(docs: DataFrame, key: bytes) -> DataFrame:
                  *(pa.array([c.get(k, 0) for _, c in found], pa.int64()) for k in KINDS)],
                 ["doc_id", "text", "n_replaced", *(f"n_{k}" for k in KINDS)])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rewrite, "doc_id long, text string, n_replaced long, " + ", ".join(f"n_{k} long" for k in KINDS))
+    return map_batches(texts_of(docs), rewrite, ", ".join(
+        ["doc_id long", "text string", "n_replaced long", *(f"n_{k} long" for k in KINDS)]))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegrid.llm.arrays import U, Words, blocks, mix
 from tidegrid.llm.pieces import pieces
 from tidegrid.llm.token_count import read_model
-from tidegrid.llm.workers import map_batches
+from tidegrid.llm.workers import map_batches, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -146,7 +145,7 @@ def quality_rules(docs: DataFrame, model: bytes, bands: Mapping[str, Band] = BAN
                 found = judge(batch.column("text"), model, bands)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[k]) for k in names[1:])], names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), measure, METRICS)
+    return map_batches(texts_of(docs), measure, METRICS)
 
 
 def keep_good(docs: DataFrame, model: bytes, text: str = "text", bands: Mapping[str, Band] = BANDS) -> DataFrame:

@@ -8,11 +8,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegrid.llm.arrays import text_bytes
 from tidegrid.llm.pieces import by_bytes, pieces
-from tidegrid.llm.workers import map_batches
+from tidegrid.llm.workers import map_batches, texts_of
 
 #: Bytes of text whose parts are encoded together.
 BATCH = 4 << 20
@@ -42,7 +41,8 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(n), pa.array(n > limit)],
                                              ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(texts_of(docs), count,
+                       "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegrid.llm.arrays import U, Words, blocks, held, mix, run_hashes, text_bytes, window_minima
 from tidegrid.llm.exchange import (PACKS, bucket_count, bucket_of, identified, new_group, pack, packed_batch, tagged,

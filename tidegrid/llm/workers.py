@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import tidegrid
@@ -32,6 +33,11 @@ def send_package(spark: SparkSession) -> None:
     context._tidegrid_sent = True
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` alone: other columns are not read, and their names cannot clash with new ones."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str | T.StructType) -> DataFrame:
     send_package(df.sparkSession)
