@@ -3,7 +3,9 @@ import pyarrow as pa
 
 import corpus_pipeline as pipeline
 from tests.llm import brute
+from tests.llm.conftest import words
 from tidegrid.llm import byte_bpe, pii, quality_rules, token_count
+from tidegrid.llm.jaccard_join import keep_first
 from tidegrid.session import materialize
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,6 +47,15 @@ def test_every_stage_equals_its_plain_version(spark):
         d: (len(x) // 4, brute.sha(x), brute.sha(rows[d].encode())) for d, x in ids.items()}
 
 
+def test_one_row_of_each_group_stays(frame):
+    text = " ".join(words(1, 40))
+    df = frame([(5, text), (5, text), (7, text), (None, text), (None, "other " * 9), (None, "other " * 9), (3, None), (4, None)])
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(5, text), (None, "other " * 9), (3, None), (4, None)], key=str)
+
+
 def test_odd_rows(spark):
     schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, row_id STRING, key STRING"
     docs = spark.createDataFrame([(1, None, None, None, None, "a", "b"), (None, "", None, None, None, "a", "b")], schema)

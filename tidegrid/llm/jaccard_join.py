@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.arrays import U, Words, blocks, mix, run_hashes
+from tidegrid.llm.arrays import U, Words, blocks, held, mix, run_hashes
 from tidegrid.llm.components import components
-from tidegrid.llm.exchange import PACKS, bucket_count, bucket_of, identified, new_group, pack, packed_batch, unpack
+from tidegrid.llm.exchange import (PACKS, bucket_count, bucket_of, identified, new_group, pack, packed_batch, unpack,
+                                   with_ids)
 from tidegrid.llm.workers import map_batches, map_groups
 from tidegrid.session import materialize
 
@@ -32,8 +33,6 @@ WORDS = 5
 NUMERATOR = 75
 #: Documents that a token must be in to be frequent; raised until at most MOST tokens are, as these go to every task.
 FREQUENT, MOST = 12, 1 << 20
-#: Tokens are counted if their hash is in this share of all; prefixes are taken in order of the hash and seldom reach further.
-COUNTED = 0.36
 #: Frequent tokens of a prefix up to which their pairs are indexed.
 PAIRED = 12
 #: Members of an entry are compared with the next NEAR first, then with GROWTH times as many in each round.
@@ -76,11 +75,9 @@ def _cell(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def frequent_tokens(rows: DataFrame, buckets: int) -> np.ndarray:
     """Sorted cells of the tokens that are in the most documents; at most MOST of them."""
-    limit = U(int(COUNTED * 2.0**64))
-
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [s[:np.searchsorted(s, limit)] for s in shingles(batch.column("text"))]
+        for batch in held(batches):
+            parts = list(shingles(batch.column("text")))
             cells, n = np.unique(_cell(np.concatenate([np.zeros(0, U), *parts]), buckets), return_counts=True)
             once = n == 1
             low = (cells & U(0xFFFFFFFF)).astype(np.uint32)
@@ -151,31 +148,64 @@ def near_pairs(key, row, n, kind, component, begin: int, end: int) -> tuple[np.n
     return (np.concatenate(a), np.concatenate(b)) if a else (row[:0], row[:0])
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The distinct ``pairs`` (a, b) whose sets are similar, compared token by token."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("row_id")).unionAll(pairs.select(F.col("b").alias("row_id"))).distinct()
+def apart(keys_a: np.ndarray, keys_b: np.ndarray, n: int, m: int) -> bool:
+    """Whether the first rare tokens of two sets, in order, already differ too much for the sets to be similar.
+
+    Up to the place where the shorter of the two lists ends both are complete, and what differs there differs in the sets.
+    """
+    end = min(keys_a[-1], keys_b[-1])
+    both = np.sort(np.concatenate([keys_a[keys_a <= end], keys_b[keys_b <= end]]))
+    differ = len(both) - 2 * int((both[1:] == both[:-1]).sum())
+    least = -(-NUMERATOR * (n + m) // (100 + NUMERATOR))
+    return differ > n + m - 2 * least
+
+
+def _paired(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with the columns of both rows of ``of`` (row_id, ...)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("row_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs.select("a", "b", *[f"{c}_{side}" for side in ("a", "b") for c in columns])
+
+
+def verified(pairs: DataFrame, rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (a, b) whose sets are similar.
+
+    Most pairs that are not have entries that show it (``table``); the sets of the others are made from their texts again
+    and compared token by token.
+    """
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, plain = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "plain"))
+            keys = zip(batch.column("keys_a"), batch.column("keys_b"), strict=True)
+            keep = [not (plain[i] and apart(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), int(n[i]), int(m[i])))
+                    for i, (x, y) in enumerate(keys)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    known = table.select("row_id", "n", "plain", "keys")
+    asked = _paired(pairs.distinct(), known, "n", "plain", "keys")
+    asked = asked.withColumn("plain", F.col("plain_a") & F.col("plain_b"))
+    left = materialize(map_batches(asked.select("a", "b", "n_a", "n_b", "plain", "keys_a", "keys_b"), may_be, "a long, b long"),
+                       "pairs")
+    ids = left.select(F.col("a").alias("row_id")).unionAll(left.select(F.col("b").alias("row_id"))).distinct()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for s in shingles(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(sets, pa.binary())], ["row_id", "tokens"])
 
-    read = rows.select("row_id", "text").join(asked, "row_id", "left_semi")
-    sets = map_batches(read, tokens, "row_id long, tokens binary").dropDuplicates(["row_id"])
-    one = sets.select(F.col("row_id").alias("a"), F.col("tokens").alias("of_a"))
-    two = sets.select(F.col("row_id").alias("b"), F.col("tokens").alias("of_b"))
+    read, _ = with_ids(rows.select("row_id", "text"), ids)
+    sets = map_batches(read, tokens, "row_id long, tokens binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
+            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = np.sort(np.concatenate([x, y]))
                 keep.append(similar(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b"), compare, "a long, b long")
+    return map_batches(_paired(left, sets, "tokens"), compare, "a long, b long")
 
 
 def _further(begin: int, end: int):
@@ -195,37 +225,48 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links with nothing. Repeated rows are one document and give equal rows; see ``identified`` for rows of one doc_id and
     none (a component of rows without doc_id has none). An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    rows, size = identified(docs)
+    all_rows, size, unique = identified(docs)
+    named = row_components(all_rows if unique else all_rows.dropDuplicates(["row_id"]), size)
+    if unique:
+        return named.select(F.col("row_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    ids = all_rows.select("row_id", "doc_id")
+    first = ids.distinct().select(F.col("row_id").alias("component"), F.col("doc_id").alias("component_id"))
+    return ids.join(named.join(first, "component"), "row_id").select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(rows: DataFrame, size: int) -> DataFrame:
+    """``row_id, n_shingles, component`` (a row_id) of distinct ``rows`` (row_id, text) with ``size`` bytes of text."""
+    spark = rows.sparkSession
     buckets = bucket_count(spark, size)
     often = spark.sparkContext.broadcast(frequent_tokens(rows, buckets))  # MOST tokens at most
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, keys, kinds = [], [], [], [], []
+            n, one, two, keys, kinds, plain = [], [], [], [], [], []
             for s in shingles(batch.column("text")):
                 cells = _cell(s, buckets)
                 at = np.searchsorted(often.value, cells)
                 known = np.zeros(len(s), bool)
                 known[at < len(often.value)] = often.value[at[at < len(often.value)]] == cells[at < len(often.value)]
-                known &= s < U(int(COUNTED * 2.0**64))
                 key, kind = entries(s, known) if len(s) else (s, np.zeros(0, np.uint8))
                 n.append(len(s))
                 one.append(mix(s, s).sum(dtype=U).astype(np.int64))
                 two.append(mix(s, s, 1).sum(dtype=U).astype(np.int64))
                 keys.append(key.tobytes())
                 kinds.append(kind.tobytes())
+                plain.append(not kind.any())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), pa.array(keys, pa.binary()), pa.array(kinds, pa.binary())],
-                ["row_id", "doc_id", "n", "one", "two", "keys", "kinds"])
+                [batch.column("row_id"), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                 pa.array(keys, pa.binary()), pa.array(kinds, pa.binary()), pa.array(plain, pa.bool_())],
+                ["row_id", "n", "one", "two", "keys", "kinds", "plain"])
 
-    table = materialize(map_batches(rows, indexed, "row_id long, doc_id long, n int, one long, two long, keys binary, "
-                                                   "kinds binary"), "entries")
+    table = materialize(map_batches(rows.select("row_id", "text"), indexed, "row_id long, n int, one long, two long, "
+                                    "keys binary, kinds binary, plain boolean"), "entries")
     # equal sets are one node, named by its smallest row; empty sets are alone
     nodes = table.filter("n > 0").groupBy("n", "one", "two").agg(F.min("row_id").alias("node"))
     nodes = materialize(nodes, "nodes")
-    firsts = table.drop("n", "one", "two").join(nodes.select("n", F.col("node").alias("row_id")), "row_id")
+    ids = nodes.select(F.col("node").alias("row_id"))
+    firsts, _ = with_ids(table, ids)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,10 +286,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         again = new_group(key, row)  # rows that are there twice
         key, row, n, kind = key[again], row[again], n[again], kind[again]
         a, b = near_pairs(key, row, n, kind, None, 1, NEAR + 1)
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         new = new_group(key)
         members = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(key) else np.zeros(0, int)
         large = members > NEAR + 1
+        # of large entries all members are also offered to the first one, so that most components are stars at once
+        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, int)
+        low, high = np.minimum(n, n[first]).astype(np.int64), np.maximum(n, n[first]).astype(np.int64)
+        star = large & (row != row[first]) & (100 * low >= NUMERATOR * high)
+        a, b = np.concatenate([a, row[first][star]]), np.concatenate([b, row[star]])
+        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         none, zero = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())
         return pa.concat_tables([
             pa.table({"key": none, "a": pairs[:, 0], "b": pairs[:, 1], "n": zero, "kind": zero}),
@@ -257,7 +303,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     offers = materialize(map_groups(map_batches(firsts.select("row_id", "n", "keys", "kinds"), dealt, PACKS), "bucket",
                                     offered, "key long, a long, b long, n int, kind int"), "offers")
-    edges = materialize(verified(offers.filter("key IS NULL").select("a", "b"), rows), "edges")
+    edges = materialize(verified(offers.filter("key IS NULL").select("a", "b"), rows, table), "edges")
     members = offers.filter("key IS NOT NULL").select("key", F.col("a").alias("row_id"), "n", "kind")
     found = components(edges)
     begin, end = NEAR + 1, NEAR * GROWTH
@@ -272,22 +318,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         members = known.drop("component")
 
         pairs = map_groups(known, "key", _further(begin, end), "a long, b long")
-        edges = materialize(edges.unionAll(verified(pairs, rows)), "edges")
-        found = components(edges)
+        # the components so far, as stars, and the new links
+        stars = found.select(F.col("row_id").alias("a"), F.col("component").alias("b"))
+        found = components(stars.unionAll(verified(pairs, rows, table)))
         begin, end = end, end * GROWTH
-    # back from nodes to rows, and from row_id to doc_id where they differ
-    named = table.select("doc_id", "row_id", "n", "one", "two").join(nodes, ["n", "one", "two"], "left").select(
-        "doc_id", "row_id", "n", F.coalesce("node", "row_id").alias("node"))
-    named = named.join(found.select(F.col("row_id").alias("node"), "component"), "node", "left").select(
-        "doc_id", "row_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
-    ids = named.select(F.col("row_id").alias("component"), F.col("doc_id").alias("component_id")).distinct()
-    return named.join(ids, "component").select("doc_id", "n_shingles", "component_id")
+    # back from nodes to rows
+    named = table.select("row_id", "n", "one", "two").join(nodes, ["n", "one", "two"], "left").select(
+        "row_id", "n", F.coalesce("node", "row_id").alias("node"))
+    return named.join(found.select(F.col("row_id").alias("node"), "component"), "node", "left").select(
+        "row_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any more columns) whose doc_id is the smallest of its component."""
-    kept = jaccard_components(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of ``docs`` (doc_id, text and any more columns) for each component, that of the smallest doc_id.
+
+    Documents without shingles all stay; of rows that are there twice (doc_id and text) one stays, whichever.
+    """
+    rows, size, unique = identified(docs, rest=True)
+    distinct = rows if unique else rows.dropDuplicates(["row_id"])
+    kept = row_components(distinct.select("row_id", "text"), size).filter("row_id = component").select("row_id")
+    return with_ids(distinct, materialize(kept, "kept"))[0].select("rest.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
