@@ -95,8 +95,8 @@ def frequent_tokens(rows: DataFrame, buckets: int) -> np.ndarray:
         cell = (table["bucket"][0].as_py() << 32) + cells[often].astype(np.int64)
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(total[often], pa.int64())})
 
-    found = materialize(map_groups(map_batches(rows.select("text"), counted, PACKS), "bucket", summed, "cell long, n long"),
-                        "token-counts")
+    packs = map_batches(rows.select("text"), counted, PACKS)
+    found = materialize(map_groups(packs, "bucket", summed, "cell long, n long"), "token-counts")
     power = F.floor(F.log2("n")).cast("int")
     by_power = {r["power"]: r["count"] for r in found.groupBy(power.alias("power")).count().collect()}
     kept, least = 0, 1 << 62
@@ -177,8 +177,8 @@ def verified(pairs: DataFrame, rows: DataFrame, table: DataFrame) -> DataFrame:
         for batch in batches:
             n, m, plain = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "plain"))
             keys = zip(batch.column("keys_a"), batch.column("keys_b"), strict=True)
-            keep = [not (plain[i] and apart(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), int(n[i]), int(m[i])))
-                    for i, (x, y) in enumerate(keys)]
+            keep = [not (one and apart(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), int(a), int(b)))
+                    for one, a, b, (x, y) in zip(plain, n, m, keys, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     known = table.select("row_id", "n", "plain", "keys")
@@ -318,9 +318,10 @@ def row_components(rows: DataFrame, size: int) -> DataFrame:
         members = known.drop("component")
 
         pairs = map_groups(known, "key", _further(begin, end), "a long, b long")
-        # the components so far, as stars, and the new links
-        stars = found.select(F.col("row_id").alias("a"), F.col("component").alias("b"))
-        found = components(stars.unionAll(verified(pairs, rows, table)))
+        links = materialize(verified(pairs, rows, table), "edges")
+        if not links.isEmpty():  # to the components so far, as stars
+            stars = found.select(F.col("row_id").alias("a"), F.col("component").alias("b"))
+            found = components(stars.unionAll(links))
         begin, end = end, end * GROWTH
     # back from nodes to rows
     named = table.select("row_id", "n", "one", "two").join(nodes, ["n", "one", "two"], "left").select(
