@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -78,3 +82,23 @@ def test_what_is_left(frame):
     assert left == {1: text.encode(), 2: b" and more", 3: ("é" * 70).encode()[:0] + left[3]}
     kept = {r["doc_id"]: r["kept"] for r in window_dedup.remove_repeats(df).collect()}
     assert kept == {1: text, 2: "and more", 3: "é" * 70}
+
+
+def test_a_name_opened_in_one_batch_opens_it_in_the_others(spark):
+    """Many contexts of one name in one batch, and a copy of the one that is sent on in an earlier row of another batch."""
+    rnd = random.Random(4)
+
+    def text(n):
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    many = text(50_000)
+    at = int(suffix_dedup.names(np.frombuffer(many.encode(), np.uint8))[0][:-36].argmin())
+    name, before, after = many[at:at + 36], text(20), text(64)  # the smallest name is the anchor of all strings around it
+    batch = [(10 + i, text(64) + before + name + after) for i in range(suffix_dedup.MANY + 4)]
+    columns = suffix_dedup.anchors(pa.array([t for _, t in batch]), np.array([d for d, _ in batch]))
+    sent = [int(d) for d, flag in zip(*[suffix_dedup.sort_anchors(columns, False)[0][c] for c in (2, 5)], strict=True) if flag]
+    assert len(sent) == 1 and sent[0] > 10
+    docs = [(1, dict(batch)[sent[0]]), *[(-i, text(150)) for i in range(1, len(batch))], *batch]
+    two = spark.createDataFrame(spark.sparkContext.parallelize(docs, 2), "doc_id BIGINT, text STRING")
+    assert [len(p) for p in two.rdd.glom().collect()] == [len(batch)] * 2
+    assert found(suffix_dedup.remove_repeats(two, digest=True), *BYTES) == brute.repeated_bytes(docs)

@@ -111,7 +111,7 @@ def sort_anchors(columns: list[np.ndarray], last: bool) -> tuple[list[np.ndarray
     of_name = np.cumsum(new_name[kept]) - 1
     contexts = np.bincount(of_name) if kept.any() else np.zeros(0, int)
     flagged = np.zeros(len(contexts), bool)
-    np.logical_or.at(flagged, of_name, flag[kept] > 0)
+    np.logical_or.at(flagged, np.cumsum(new_name) - 1, flag > 0)  # also of rows that are covered here
     if last:
         opened = (contexts > 1) | flagged
         open_ = opened[of_name]
