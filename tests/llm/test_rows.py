@@ -106,6 +106,18 @@ def test_vocabulary_keeps_prose_and_rejects_noise():
     assert not found["base_failed"][1]
 
 
+def test_long_varied_text_is_kept_and_even_pieces_are_not():
+    """Words as uneven as in prose (Zipf's law) have more than nine bits a token when there are many; even ones have more still."""
+    found = [LIBRARY.id_to_piece(i) for i in range(LIBRARY.get_piece_size())]
+    whole = [p[1:] for p in found if re.fullmatch("▁[A-Za-z]{2,}", p)]
+    rnd = random.Random(3)
+    prose = " ".join(rnd.choices(whole, [1 / (i + 3) for i in range(len(whole))], k=50_000))
+    even = " ".join(rnd.choices(whole, k=50_000))
+    found = quality_rules.judge(pa.array([prose, even]), MODEL)
+    assert found["token_entropy"][0] > 9 and not found["base_failed"].any()
+    assert found["kept"].tolist() == [True, False]
+
+
 def test_keep_good_keeps_all_columns(frame):
     df = frame([(1, PROSE), (2, "too short"), (3, None)])
     kept = quality_rules.keep_good(df, MODEL)

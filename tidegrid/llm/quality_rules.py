@@ -37,20 +37,23 @@ _IS_LETTER = _SCRIPT != SCRIPTS.index("other")
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted values. Entropy is in bits per token, over the most it can be: log2 of the smaller of tokens and ``vocabulary``."""
+    """Accepted values. Entropy is in bits per token; the least is a share of what SETTLED tokens, or all if fewer, could have."""
 
     chars_per_token: tuple[float, float]
     most_bytes: float
-    entropy: tuple[float, float]
+    least_entropy: float
 
 
 #: Prose of a script that the vocabulary knows, and of one it mostly spells out.
-KNOWN = Band((1.75, 8.0), 0.15, (0.66, 1.0))
-SPELT = Band((0.3, 8.0), 1.0, (0.4, 1.0))
-BANDS: Mapping[str, Band] = {"latin": KNOWN, "cyrillic": Band((1.2, 8.0), 0.15, (0.55, 1.0))}
+KNOWN = Band((1.75, 8.0), 0.15, 0.66)
+SPELT = Band((0.3, 8.0), 1.0, 0.4)
+BANDS: Mapping[str, Band] = {"latin": KNOWN, "cyrillic": Band((1.2, 8.0), 0.15, 0.55)}
 #: Texts of fewer tokens say too little about themselves; only the counts judge them.
 FEWEST = 100
-VOCABULARY = 512
+SETTLED = 512
+#: Bits per token that no prose has: half-way between pieces as uneven as words are (10.5 for Zipf's law over 32,000) and even
+#: ones (15.0). Fewer than some 6,700 tokens cannot have as many.
+MOST_ENTROPY = 12.7
 ROWS = 128
 
 METRICS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -92,10 +95,10 @@ def duplicate_lines(text: str) -> int:
 
 def _entropy(ids: np.ndarray) -> float:
     if len(ids) < 2:
-        return 1.0
+        return 0.0
     n = np.bincount(ids)
     n = n[n > 0]
-    return float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids)) / float(np.log2(min(len(ids), VOCABULARY)))
+    return float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids))
 
 
 def judge(column: pa.Array, model: bytes, bands: Mapping[str, Band] = BANDS) -> dict[str, list | np.ndarray]:
@@ -118,10 +121,10 @@ def judge(column: pa.Array, model: bytes, bands: Mapping[str, Band] = BANDS) ->
                    "token_entropy": entropy}
         counts["base_failed"] = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
         rule = [bands.get(SCRIPTS[s], SPELT) for s in counts["script"]]
-        low, high, most, flat, full = np.array([(b.chars_per_token[0], b.chars_per_token[1], b.most_bytes, *b.entropy)
-                                                for b in rule]).T
+        low, high, most, flat = np.array([(*b.chars_per_token, b.most_bytes, b.least_entropy) for b in rule]).T
+        flat = flat * np.log2(np.clip(n, 1, SETTLED))
         inside = ((counts["chars_per_token"] >= low) & (counts["chars_per_token"] <= high) & (counts["byte_share"] <= most)
-                  & (entropy >= flat) & (entropy <= full + 1e-9))
+                  & (entropy >= flat - 1e-9) & (entropy <= MOST_ENTROPY))
         counts["kept"] = ~counts["base_failed"] & (inside | (n < FEWEST))
         counts["script"] = np.array(SCRIPTS)[counts["script"]]
         for k, v in counts.items():
