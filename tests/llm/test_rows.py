@@ -118,6 +118,17 @@ def test_long_varied_text_is_kept_and_even_pieces_are_not():
     assert found["kept"].tolist() == [True, False]
 
 
+def test_short_texts_are_judged():
+    """Under a hundred tokens too: noise and stammer fail, prose of any length passes."""
+    signs = " ".join(f"q{a}{b}%%$$&&" for a, b in zip("qxzvjkwqxzvj", "zxqjvkqqzxjw"))
+    stammer = " ".join(("This", "thhant")[int(x)] for x in "000001000110010100111010110111110000")  # no run of five twice
+    whole = PROSE.split()
+    prose = [" ".join(whole[i:i + n]) for n in (10, 15, 25, 60) for i in range(0, len(whole) - n, 7)]
+    found = quality_rules.judge(pa.array([signs, stammer, *prose]), MODEL)
+    assert not found["base_failed"].any() and found["n_tokens"].max() < 100
+    assert found["kept"].tolist() == [False, False, *[True] * len(prose)]
+
+
 def test_keep_good_keeps_all_columns(frame):
     df = frame([(1, PROSE), (2, "too short"), (3, None)])
     kept = quality_rules.keep_good(df, MODEL)

@@ -2,7 +2,7 @@
 
 A tokeniser trained on ordinary prose needs few tokens for ordinary prose. Per text: characters per token, the share of
 tokens that are bytes because no piece fits, and the entropy of the tokens, each with a band of accepted values per script.
-The bands are fixed parameters, so every document is judged by itself, in one pass, alike at every size of the corpus.
+The bands are fixed parameters, widened by the standard errors of a text's number of tokens, so every document is judged by itself, in one pass, alike at every size of the corpus.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ _IS_LETTER = _SCRIPT != SCRIPTS.index("other")
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted values. Entropy is in bits per token; the least is a share of what SETTLED tokens, or all if fewer, could have."""
+    """Accepted values of a long text. The least entropy is a share of what SETTLED tokens, or all if fewer, could have."""
 
     chars_per_token: tuple[float, float]
     most_bytes: float
@@ -48,8 +48,9 @@ class Band:
 KNOWN = Band((1.75, 8.0), 0.15, 0.66)
 SPELT = Band((0.3, 8.0), 1.0, 0.4)
 BANDS: Mapping[str, Band] = {"latin": KNOWN, "cyrillic": Band((1.2, 8.0), 0.15, 0.55)}
-#: Texts of fewer tokens say too little about themselves; only the counts judge them.
-FEWEST = 100
+#: The fewer tokens, the further a clean text's means stray: limits are widened by so many standard errors. The characters of
+#: a token of prose vary by SPREAD of their mean (0.65 to 0.74 in licences and the Python manual).
+ERRORS, SPREAD = 2, 0.7
 SETTLED = 512
 #: Bits per token that no prose has: half-way between pieces as uneven as words are (10.5 for Zipf's law over 32,000) and even
 #: ones (15.0). Fewer than some 6,700 tokens cannot have as many.
@@ -123,9 +124,11 @@ def judge(column: pa.Array, model: bytes, bands: Mapping[str, Band] = BANDS) ->
         rule = [bands.get(SCRIPTS[s], SPELT) for s in counts["script"]]
         low, high, most, flat = np.array([(*b.chars_per_token, b.most_bytes, b.least_entropy) for b in rule]).T
         flat = flat * np.log2(np.clip(n, 1, SETTLED))
+        error = ERRORS / np.sqrt(some)
+        low, high, most = low * (1 - SPREAD * error), high * (1 + SPREAD * error), most + error * np.sqrt(most * (1 - most))
         inside = ((counts["chars_per_token"] >= low) & (counts["chars_per_token"] <= high) & (counts["byte_share"] <= most)
                   & (entropy >= flat - 1e-9) & (entropy <= MOST_ENTROPY))
-        counts["kept"] = ~counts["base_failed"] & (inside | (n < FEWEST))
+        counts["kept"] = ~counts["base_failed"] & inside
         counts["script"] = np.array(SCRIPTS)[counts["script"]]
         for k, v in counts.items():
             out.setdefault(k, []).append(v)
@@ -136,7 +139,7 @@ def quality_rules(docs: DataFrame, model: bytes, bands: Mapping[str, Band] = BAN
     """Every measure and the verdict ``kept`` for each row of ``docs`` (doc_id, text; other columns are not read).
 
     ``base_failed``: under ten words, or over a fifth of the words in repeated runs of five. ``kept``: not base_failed, and
-    the measures of the vocabulary are inside the band of the text's script (texts under ``FEWEST`` tokens: not asked).
+    the measures of the vocabulary are inside the band of the text's script, which is wider for texts of few tokens.
     A null or empty text has no words and fails. A null doc_id is kept, repeated rows give equal rows, an empty table gives
     an empty one.
     """
