@@ -226,6 +226,14 @@ def test_pseudonyms_keep_the_format_and_the_link():
     assert all(0 <= int(x) < 256 for x in address.split(".")) and address != "89.189.210.185"
 
 
+def test_addresses_from_224_on_get_pseudonyms_of_their_class():
+    names = pii.Pseudonyms(b"k")
+    old = ["248.40.198.62", "235.58.234.215", "224.0.0.0", "255.255.255.255", *(f"{a}.1.2.3" for a in range(224, 256))]
+    new = [pii.replace(x, names)[0] for x in old]
+    assert all(a != b and 224 <= int(b.split(".")[0]) < 256 and max(map(int, b.split("."))) < 256 for a, b in zip(old, new))
+    assert len(set(new)) == len(old) and pii.replace("10.0.0.1", names)[0] == "10.0.0.1"
+
+
 @pytest.mark.parametrize("text", ["version 1.2.3.4.5", "4879548823211411", "10.0.0.1", "1999-02-31", "000-12-3456", "a@b", "2023",
                                   "License, Version 2.0.", "300.1.1.1", "DE89 3704 0044 0532 0130 02", "12345678901234567890123",
                                   "a" * 100_000, "1" * 50_000, "@" * 20_000, "", "a.b" * 30_000])

@@ -113,11 +113,14 @@ class Pseudonyms:
         return _refill(text, str(self.feistel.permute(n, 10**9, "social", valid)).zfill(9))
 
     def address(self, text: str) -> str | None:
-        """An IPv4 address; local and reserved ones say nothing about a person and stay."""
+        """An IPv4 address; local ones say nothing about a person and stay."""
         parts = text.split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
             return None
         n = int.from_bytes(bytes(map(int, parts)), "big")
+        if n >= _RESERVED:
+            n = _RESERVED + self.feistel.permute(n - _RESERVED, (1 << 32) - _RESERVED, "reserved address")
+            return ".".join(map(str, n.to_bytes(4, "big")))
         if not _public(n):
             return None
         return ".".join(map(str, self.feistel.permute(n, 1 << 32, "address", _public).to_bytes(4, "big")))
@@ -183,6 +186,10 @@ class Pseudonyms:
         return self.signs(text, "secret")
 
 
+#: From 224.0.0.0 on: a class of its own, as such an address is nobody's host and its pseudonym should not be one.
+_RESERVED = 224 << 24
+
+
 def _public(n: int) -> bool:
     first, second = n >> 24, n >> 16 & 255
     return 1 <= first < 224 and first not in (10, 127) and not (first == 172 and 16 <= second < 32) and (
