@@ -8,6 +8,8 @@ from tidegrid.llm.decontamination import op3_decontamination
 from tidegrid.llm.jaccard_join import op10_jaccard_join
 from tidegrid.llm.pii import op4_pii
 from tidegrid.llm.quality_rules import op8_quality_rules
+from tidegrid.llm.resampling import SQL as RESAMPLING_SQL
+from tidegrid.llm.resampling import op11_importance_resampling
 from tidegrid.llm.sharding import op2_sharding
 from tidegrid.llm.suffix_dedup import op1_suffix_dedup
 from tidegrid.llm.token_count import op6_token_count
@@ -15,5 +17,6 @@ from tidegrid.llm.window_dedup import op5_window_dedup
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_sharding, op3_decontamination, op4_pii, op5_window_dedup, op6_token_count,
-    op7_quality_classifier, op8_quality_rules, op9_byte_bpe, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+    op7_quality_classifier, op8_quality_rules, op9_byte_bpe, op10_jaccard_join,
+    op11_importance_resampling)}
+ORACLES: dict[str, str] = {"op11_importance_resampling": RESAMPLING_SQL}
