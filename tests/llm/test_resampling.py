@@ -12,7 +12,8 @@ import pytest
 
 from tests.llm.conftest import varied, words
 from tidegrid.llm.arrays import blocks
-from tidegrid.llm.resampling import KEY, bucket_counts, gains, kth_key, ranked, resample
+from tidegrid.llm.ranks import numbered
+from tidegrid.llm.resampling import KEY, bucket_counts, gains, kth_key, resample
 from tidegrid.llm.terms import LETTERS, LETTERS_AND_DIGITS, Terms
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -77,7 +78,7 @@ def test_quickselect_finds_every_key(spark):
     for k in (1, 2, 17, 59, 60):
         assert kth_key(keyed, k, pivots=3) == sorted(keys)[k - 1]
     assert kth_key(keyed, 61) is None
-    assert [tuple(r)[:5] for r in ranked(keyed).orderBy("rank").collect()] == sorted(keys)
+    assert [tuple(r)[:5] for r in numbered(keyed, KEY, "rank", "all").orderBy("rank").collect()] == sorted(keys)
 
 
 def test_counts_and_gains(frame):

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.arrays import blocks
+from tidegrid.llm.ranks import numbered
 from tidegrid.llm.terms import LETTERS_AND_DIGITS, Terms
 from tidegrid.llm.workers import map_batches
 from tidegrid.session import materialize
@@ -135,22 +136,6 @@ def kth_key(keyed: DataFrame, k: int, seed: int = SEED, pivots: int = PIVOTS) ->
         turn += 1
 
 
-def ranked(rows: DataFrame, name: str = "ranked") -> DataFrame:
-    """``rows`` with ``rank`` from 1 in the order of their keys: sorted by ranges, then numbered with one count for each range."""
-    number = F.monotonically_increasing_id()
-    done = materialize(rows.orderBy(*KEY).withColumn("place", number), name)  # partition << 33 | place inside
-    sizes = sorted((r["part"], r["n"]) for r in
-                   done.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).collect())
-    begins, total = [], 0
-    for part, n in sizes:
-        begins.append((part, total))
-        total += n
-    table = done.sparkSession.createDataFrame(begins, "part long, begin long")  # a row for each partition
-    inside = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    return (done.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(table), "part")
-            .withColumn("rank", F.col("begin") + inside + 1).drop("part", "begin", "place"))
-
-
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least: int = LEAST, seed: int = SEED,
              longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """``doc_id, n_features, weight, score, rank`` for each row of ``docs`` (doc_id, text); rank is null for those not drawn.
@@ -173,7 +158,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least:
     if last is None:
         return scored.select(*out, F.lit(None).cast("long").alias("rank"))
     drawn = (F.col("n_features") >= least) & (_key() <= _key(last))
-    winners = ranked(scored.filter(drawn).select(*out, *KEY), "drawn")
+    winners = numbered(scored.filter(drawn).select(*out, *KEY), KEY, "rank", "drawn")
     return winners.select(*out, "rank").unionByName(scored.filter(~drawn).select(*out, F.lit(None).cast("long").alias("rank")))
 
 
