@@ -28,7 +28,7 @@ SCALE = 1_000_000_000
 #: Bits of a term's number inside a chunk, whose bitmaps meet in one task, and sources of one side there.
 CHUNK_BITS, SIDE = 15, 16
 #: Terms counted in a task before they are sent.
-HELD_TERMS = 1 << 20
+HELD_TERMS = 1 << 18
 #: Pairs of bitmap words that are worked on together.
 PAIRS = 1 << 20
 
