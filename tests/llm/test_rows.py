@@ -35,6 +35,19 @@ def test_pieces_are_the_librarys(monkeypatch):
     assert [x.tolist() for x in encoder.encode(texts)] == LIBRARY.encode([t or "" for t in texts])
 
 
+def test_remembered_parts_have_a_bound(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 50_000)
+    encoder, rnd = pieces.Pieces(MODEL), random.Random(3)
+    for _ in range(40):  # long texts without spaces, and ever new words
+        texts = ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(2000)) for _ in range(20)]
+        texts += [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(40))]
+        assert [len(x) for x in encoder.encode(texts)] == [len(LIBRARY.encode(t)) for t in texts]
+        assert all(len(p) <= pieces.KEPT_CHARS for p in encoder.known)
+        assert encoder.kept <= 50_000 + 40 * 600 and encoder.kept >= 500 * len(encoder.known)
+    encoder.forget()
+    assert not encoder.known and encoder.kept == 0
+
+
 def test_token_counts(frame):
     docs = [*varied(), (None, "no id"), (6, "twice"), (6, "twice")]
     got = token_count.count_tokens(frame(docs), MODEL, limit=100)

@@ -17,8 +17,8 @@ import sentencepiece
 
 #: Parts longer than this are cut again between characters that never meet inside a piece.
 LONG = 1 << 12
-#: Distinct parts remembered by a worker.
-KEPT = 1 << 19
+#: Memory, about, of the parts that a worker remembers, and the longest of them.
+KEPT_BYTES, KEPT_CHARS = 64 << 20, 64
 #: Characters encoded by one call.
 CALL = 1 << 20
 #: A protocol buffer field appended to a model replaces the earlier one: here add_dummy_prefix = false.
@@ -42,7 +42,12 @@ class Pieces:
         if any(b == _SPACE and a != _SPACE for a, b in self.pairs) or whole.encode("a") != self.plain.encode(" a"):
             raise ValueError("this vocabulary has pieces across words, or does not put a space before a text")
         self.code = "H" if len(self.pieces) <= 1 << 16 else "I"
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of all parts. A task that has read its input does, so that the stages of a job do not add up in a worker."""
         self.known: dict[str, bytes] = {}
+        self.kept = 0
 
     def parts(self, text: str) -> list[str]:
         """The text with a space before it, cut before every run of spaces."""
@@ -64,9 +69,9 @@ class Pieces:
         return [*out, part[begin:]]
 
     def learn(self, parts: set[str]) -> None:
-        """Encode the parts not known yet, in calls of about equal size."""
-        if len(self.known) > KEPT:
-            self.known = {}
+        """Encode the parts not known yet, in calls of about equal size. ``encode`` drops the long ones again."""
+        if self.kept > KEPT_BYTES:
+            self.forget()
         new = list(parts - self.known.keys())
         cuts = {i: self.cut(p) for i, p in enumerate(new) if len(p) > LONG}
         flat = [" " + p for p in new]
@@ -78,7 +83,9 @@ class Pieces:
         for i in sorted(cuts):
             ids[i:i + len(cuts[i])] = [[x for part in ids[i:i + len(cuts[i])] for x in part]]
         code = self.code
-        self.known |= {p: array(code, own).tobytes() for p, own in zip(new, ids, strict=True)}
+        for p, own in zip(new, ids, strict=True):
+            self.known[p] = array(code, own).tobytes()
+            self.kept += 500 + 4 * len(p) + len(own) * 2  # with what the interpreter needs for two objects and their entry
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -86,7 +93,10 @@ class Pieces:
         if split:
             self.learn(set().union(*split))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), self.code) for s in split]
+        out = [np.frombuffer(b"".join(map(get, s)), self.code) for s in split]
+        for p in {p for s in split for p in s if len(p) > KEPT_CHARS}:
+            self.kept -= 500 + 4 * len(p) + len(self.known.pop(p)) // array(self.code).itemsize * 2
+        return out
 
     def lengths(self, texts: list[str | None]) -> list[int]:
         return [len(x) for x in self.encode(texts)]

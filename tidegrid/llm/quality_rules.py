@@ -150,18 +150,24 @@ def quality_rules(docs: DataFrame, model: bytes, bands: Mapping[str, Band] = BAN
             if len(batch):
                 found = judge(batch.column("text"), model, bands)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[k]) for k in names[1:])], names)
+        pieces(model).forget()
 
     return map_batches(texts_of(docs), measure, METRICS)
 
 
 def keep_good(docs: DataFrame, model: bytes, text: str = "text", bands: Mapping[str, Band] = BANDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is kept by ``quality_rules``."""
+    """The rows of ``docs``, with all their columns, whose text is kept by ``quality_rules``.
+
+    A null or empty text fails, so its row goes. Rows with a null doc_id and repeated rows are judged like any other; an empty
+    table gives an empty one.
+    """
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 yield batch.filter(pa.array(judge(batch.column(at), model, bands)["kept"]))
+        pieces(model).forget()
 
     return map_batches(docs, keep, docs.schema)
 

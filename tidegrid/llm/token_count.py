@@ -40,6 +40,7 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096) -> DataFrame:
             n = np.array(n, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(n), pa.array(n > limit)],
                                              ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        encoder.forget()
 
     return map_batches(texts_of(docs), count,
                        "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
