@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -38,6 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def share_package(spark: SparkSession) -> None:
+    """Send this package to every worker, once per application; executors that run its functions need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_tidegrid_sent", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(top):  # else it came in an archive itself
+        path = os.path.join(tempfile.mkdtemp(prefix="tidegrid-"), "tidegrid.zip")
+        with zipfile.ZipFile(path, "w") as packed:
+            for folder, _, names in sorted(os.walk(top)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    file = os.path.join(folder, name)
+                    packed.write(file, os.path.join("tidegrid", os.path.relpath(file, top)))
+        context.addPyFile(path)  # the driver serves it
+    context._tidegrid_sent = True
+
+
 _MADE: dict[str, list[str]] = {}  # folders by application
 
 
