@@ -250,8 +250,8 @@ def calendar_rollup(points: DataFrame, scale: Scale, kind: str | AggregateSpec =
     An empty bucket has a null state, and 0 for its count ``n``.
     """
     spec = spec_of(kind)
-    bucket = calendar_trunc(F.col("t"), scale, zone).alias("t")
-    rolled = (points.select("series", bucket, *spec.lifted(F.col("v"))).groupBy("series", "t").agg(*spec.merged()))
+    rows = spec.prepared(points).withColumn("_bucket", calendar_trunc(F.col("t"), scale, zone))
+    rolled = spec.of_points(rows, "series", "_bucket", spans=False).withColumnRenamed("_bucket", "t")
     spans = points.groupBy("series").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("end"))
     # ticks of hours are elapsed time and may sit beside a bucket's start after a clock change
     ticks = tick_spine(spans, scale, zone, prior=True)

@@ -13,8 +13,7 @@ from tidegrid.operators.pyramid import Pyramid
 
 def agg_points(points: DataFrame, kind: str | AggregateSpec, keys: Sequence[str] = ("series",)) -> DataFrame:
     """State of all points per key."""
-    spec = spec_of(kind)
-    return points.select(*keys, *spec.lifted(F.col("v"))).groupBy(*keys).agg(*spec.merged())
+    return spec_of(kind).of_points(points, *keys, spans=False)
 
 
 def agg_nodes(nodes: DataFrame, kind: str | AggregateSpec, keys: Sequence[str] = ("series",)) -> DataFrame:
@@ -37,9 +36,7 @@ def series_summary(points: DataFrame | Pyramid, kind: str | AggregateSpec = "num
     if isinstance(points, Pyramid):
         return points.spec.with_finals(agg_nodes(top_nodes(points), points.spec))
     spec = spec_of(kind)
-    lifted = points.select("series", "t", *spec.lifted(F.col("v")))
-    summary = lifted.groupBy("series").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"), *spec.merged())
-    return spec.with_finals(summary)
+    return spec.with_finals(spec.of_points(points, "series"))
 
 
 def value_limits(points: DataFrame | Pyramid, series: Sequence[str] | None = None, kind: str = "num") -> DataFrame:

@@ -45,8 +45,8 @@ def require_ordered(points: DataFrame, pos: str, keys: Sequence[str] = ("series"
 def unique_times(points: DataFrame, kind: str | AggregateSpec = "num") -> DataFrame:
     """One state row per series and time, for tables that hold several rows at one time."""
     spec = spec_of(kind)
-    return (points.select("series", "t", *spec.lifted(F.col("v")))
-            .groupBy("series", "t").agg(*spec.merged()))
+    spec.needs_no_next("a table with several rows at one time")
+    return spec.of_points(points, "series", "t", spans=False)
 
 
 def mean_at_times(points: DataFrame) -> DataFrame:

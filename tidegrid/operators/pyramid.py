@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.model import AggregateSpec, floor_to, idiv, spec_of
 from tidegrid.operators.points import drop_backward, with_positions
-from tidegrid.operators.scan import SLAB_BITS
+from tidegrid.operators.scan import SLAB_BITS, ordered
 from tidegrid.session import materialize
 
 # Most points in a leaf and most children of a node
@@ -118,9 +118,7 @@ def _with_parent_span(nodes: DataFrame) -> DataFrame:
 
 
 def _leaves(placed: DataFrame, spec: AggregateSpec, *keys: str) -> DataFrame:
-    rows = placed.select(*keys, F.col("t").alias("min_t"), F.col("t").alias("max_t"),
-                         *spec.lifted(F.col("v")), F.lit(1).cast("long").alias("n_points"))
-    return _counted(rows, spec, *keys).withColumn("level", F.lit(0))
+    return spec.of_points(placed, *keys, count="n_points").withColumn("level", F.lit(0))
 
 
 def _counted(rows: DataFrame, spec: AggregateSpec, *keys: str) -> DataFrame:
@@ -152,7 +150,7 @@ def build_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", leaf_siz
                   fanout: int = FANOUT, bits: int = SLAB_BITS) -> Pyramid:
     """The count-based pyramid of points in strictly increasing time."""
     spec, shape = spec_of(kind), CountShape(leaf_size, fanout)
-    placed = place_points(points, shape, bits)
+    placed = place_points(spec.prepared(points, bits), shape, bits)
     leaves = _leaves(placed, spec, "series", "series_n", "node_id").withColumn("above", F.lit(0))
     return Pyramid(placed.drop("series_n"), _with_parents(_levels(leaves, spec, shape), shape), spec, shape)
 
@@ -171,10 +169,8 @@ def build_time_pyramid(points: DataFrame, kind: str | AggregateSpec = "num", bas
     Needs no positions, so it is one partial aggregation of the points and one of the leaves.
     """
     spec = spec_of(kind)
-    placed = points.withColumn("node_id", idiv(floor_to(F.col("t"), base_ms), base_ms))
-    rows = placed.select("series", "node_id", F.col("t").alias("min_t"), F.col("t").alias("max_t"),
-                         *spec.lifted(F.col("v")))
-    leaves = _grouped(rows, spec, "series", "node_id")
+    placed = spec.prepared(ordered(points, ["series"], "t")).withColumn("node_id", idiv(floor_to(F.col("t"), base_ms), base_ms))
+    leaves = spec.of_points(placed, "series", "node_id")
     return Pyramid(placed, time_levels(leaves, spec, fanout, levels), spec, GridShape(base_ms, fanout, levels))
 
 
@@ -194,6 +190,7 @@ def with_grid_parent(nodes: DataFrame, fanout: int, levels: int) -> DataFrame:
 def append_time_points(pyramid: Pyramid, points: DataFrame) -> Pyramid:
     """A time-grid pyramid with more points, on its own grid: new nodes merge into the ones they share."""
     spec, shape = pyramid.spec, _cut_by(pyramid, GridShape)
+    spec.needs_no_next("a node that is final")
     new = build_time_pyramid(points, spec, shape.base_ms, shape.fanout, shape.levels)
     keys = ["series", "level", "node_id"]
     both = pyramid.nodes.drop("parent_id", "parent_span").unionByName(new.nodes.drop("parent_id", "parent_span"))
@@ -231,7 +228,7 @@ def append_delta(pyramid: Pyramid, points: DataFrame, pos: str, bits: int = SLAB
         reopened = pyramid.points.filter(F.col("t") >= open_from).join(
             open_leaves.select("series", "node_id", "series_n"), ["series", "node_id"])
         placed = placed.unionByName(reopened.select("series", "t", "v", "pos", "series_n"))
-    placed = placed.withColumn("node_id", shape.leaf_of(F.col("pos"), F.col("series_n")))
+    placed = spec.prepared(placed, bits).withColumn("node_id", shape.leaf_of(F.col("pos"), F.col("series_n")))
 
     final = F.col("node_id") < last(level)
     under_final = F.coalesce(F.col("parent_id") < last(level + 1), F.lit(False))
@@ -269,8 +266,7 @@ def validate_pyramid(pyramid: Pyramid) -> DataFrame:
     spec, shape = pyramid.spec, _cut_by(pyramid, CountShape)
     key = ["series", "level", "node_id"]
     state = ["min_t", "max_t", *spec.state]
-    rows = pyramid.points.select("series", F.lit(0).alias("level"), "node_id", F.col("t").alias("min_t"),
-                                 F.col("t").alias("max_t"), *spec.lifted(F.col("v")))
+    rows = pyramid.points.withColumn("level", F.lit(0))
     nodes = pyramid.nodes
     children = nodes.filter("parent_id is not null").select(
         "series", (F.col("level") + 1).alias("level"), F.col("parent_id").alias("node_id"), *state)
@@ -279,7 +275,7 @@ def validate_pyramid(pyramid: Pyramid) -> DataFrame:
         return parts.groupBy(*key).agg(F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t"),
                                        *spec.merged(), F.count(F.lit(1)).alias("_size"))
 
-    found = expected(rows).unionByName(expected(children))
+    found = spec.of_points(rows, *key, count="_size").unionByName(expected(children))
     found = found.select(*key, "_size", *[F.col(c).alias(f"_e_{c}") for c in state])
     both = nodes.select(*key, *state, F.lit(True).alias("_stored")).join(found, key, "full")
 
@@ -292,7 +288,8 @@ def validate_pyramid(pyramid: Pyramid) -> DataFrame:
     bounds = differs("min_t") | differs("max_t")
     aggregate = F.lit(False)
     for c in spec.state:
-        aggregate = aggregate | differs(c)
+        if dict(nodes.dtypes)[c] != "binary":  # a sketch depends on the order of merging
+            aggregate = aggregate | differs(c)
     size = F.col("_size") > F.when(F.col("level") == 0, F.lit(shape.leaf_size)).otherwise(F.lit(shape.fanout))
     problem = (F.when(F.col("_stored").isNull(), "missing").when(F.col("_size").isNull(), "empty")
                .when(bounds, "bounds").when(size, "size").when(F.coalesce(aggregate, F.lit(False)), "aggregate"))

@@ -50,13 +50,19 @@ def _merged_groups(rows: DataFrame, spec: AggregateSpec, keys: Sequence[str], *b
 def tumble(points: DataFrame, resolution: int, kind: str | AggregateSpec = "num") -> DataFrame:
     """Aggregate points per bucket of ``resolution`` ms; ``t`` is the bucket's start."""
     spec = spec_of(kind)
-    lifted = points.select("series", floor_to(F.col("t"), resolution).alias("t"), *spec.lifted(F.col("v")))
-    return lifted.groupBy("series", "t").agg(*spec.merged())
+    rows = spec.prepared(points).withColumn("_bucket", floor_to(F.col("t"), resolution))
+    return spec.of_points(rows, "series", "_bucket", spans=False).withColumnRenamed("_bucket", "t")
 
 
 def resample_points(points: DataFrame, resolution: int, kind: str | AggregateSpec = "num") -> DataFrame:
     """``resample`` of raw points, which never cross a bucket's end."""
     spec = spec_of(kind)
+    if resolution > 0 and spec.from_points is not None:
+        rows = spec.prepared(points).withColumn("_low", floor_to(F.col("t"), resolution))
+        if spec.keep_value:
+            raise ValueError("a kind of two functions cannot keep single values here")
+        found = spec.of_points(rows, "series", "_low", count="_n")
+        return found.select("series", (F.col("_n") == 1).alias("is_leaf"), "min_t", "max_t", *spec.state)
     rows = lift_points(points, spec)
     if resolution <= 0:
         return rows

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalars import holds
+
 SLAB_BITS = 22
 
 Row = Mapping[str, Column]
@@ -62,6 +64,14 @@ def max_all(value: Column) -> Carry:
     return Carry("top", value)
 
 
+def ordered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``df``, which fails where a row has no key or no order: it has no place in its series, and no query drops it unseen."""
+    there = F.col(order).isNotNull()
+    for c in keys:
+        there = there & F.col(c).isNotNull()
+    return df.filter(holds(there, F.lit(f"a row without {' or '.join([*keys, order])} has no place in a series")))
+
+
 def slab_of(order: Column, bits: int = SLAB_BITS) -> Column:
     return F.shiftright(order, bits)
 
@@ -98,6 +108,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, carries: Mappin
     ``source`` may give rows of the same columns that sum up to the same per slab and are cheaper to compute.
     """
     keys, at = list(keys), F.col(order)
+    df = ordered(df, keys, order)
     slab = slab_of(at, bits).alias("_slab")
     summaries = (df if source is None else source).groupBy(*keys, slab).agg(*[_summary(c, at).alias(f"_s_{n}") for n, c in carries.items()])
     carried = summaries.select(*keys, "_slab", *[
@@ -123,6 +134,7 @@ def split_by(df: DataFrame, keys: Sequence[str], order: str, needs: Sequence[str
     series is one slab, for rows whose number per series has a known bound.
     """
     keys, at, in_slab = list(keys), F.col(order), [*list(keys), "_slab"]
+    df = ordered(df, keys, order)
     cur = {c: F.col(c) for c in needs}
 
     def starts(p: Row, c: Row) -> Column:

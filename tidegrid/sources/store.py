@@ -87,6 +87,6 @@ def store_pyramid(points: DataFrame, path: str, kind: str | AggregateSpec = "num
     """
     spark, spec, shape = points.sparkSession, spec_of(kind), CountShape(leaf_size, fanout)
     write_shape(spark, path, spec, shape)
-    write_points(place_points(points, shape).drop("series_n"), f"{path}/points")
+    write_points(place_points(spec.prepared(points), shape).drop("series_n"), f"{path}/points")
     _write_nodes(nodes_of_placed(read_points(spark, f"{path}/points"), spec, shape), path)
     return read_pyramid(spark, path, spec)

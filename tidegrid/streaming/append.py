@@ -19,6 +19,7 @@ def append_batches(path: str, kind: str | AggregateSpec = "num", base_ms: int =
     them; appending by another one fails.
     """
     spec, shape = spec_of(kind), GridShape(base_ms, fanout, levels)
+    spec.needs_no_next("a batch")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         write_shape(batch.sparkSession, path, spec, shape)
