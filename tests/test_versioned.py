@@ -149,7 +149,7 @@ def test_manifests(spark):
     assert read_manifest(spark, path) is None and versions(spark, path) == []
     with pytest.raises(ValueError, match="no stored pyramid"):
         ver.read_stored(spark, path)
-    one = Manifest(0, "num", pyr.GridShape(5, 4, 3)).with_part("x", 7, last_batch=4)
+    one = Manifest(0, "num", pyr.GridShape(5, 4, 3)).with_part("x", 7, batches={"q": 4})
     commit(spark, path, one)
     assert read_manifest(spark, path) == one and one.version == 1
     with pytest.raises(Conflict):

@@ -14,7 +14,7 @@ from tidegrid.registry.views import LOD_SQL, PORT, SHOWN_SQL
 from tidegrid.session import new_folder
 from tidegrid.sources.tables import as_series, millis
 from tidegrid.sources.wide_csv import read_layout
-from tidegrid.streaming import append, ingest, windows
+from tidegrid.streaming import append, ingest, runs, windows
 
 _END = "~end"  # a marker series far behind the data lets the watermark pass the last group
 
@@ -103,6 +103,17 @@ def stream_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(view(_appended(spark, sf_dir), PORT), "total")
 
 
+@query(f"WITH {EVENTS}, {GRID} SELECT * FROM gd")
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by runs that are merged while the stream goes on."""
+    path = new_folder(spark, "runs")
+    table(spark, sf_dir, "events").repartition(6, "event_id").write.parquet(f"{path}/in")
+    raw = (spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1)
+           .parquet(f"{path}/in"))
+    _run_batches(as_series(raw, "event_type", "ts", "value"), path, runs.append_runs(f"{path}/out", "num", 600_000, 16, 4))
+    return rounded(runs.read_runs(spark, f"{path}/out").nodes, "total")
+
+
 @query("""WITH f AS (SELECT *, event_id * 3 // (SELECT count(*) FROM events) AS part, xor(event_id, 63) AS pos,
   CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT) AS t FROM events)
 SELECT 'value' AS series, t, value AS v FROM f QUALIFY coalesce(t > max(t) OVER (ORDER BY part, pos
