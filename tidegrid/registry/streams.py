@@ -15,6 +15,7 @@ from tidegrid.session import new_folder
 from tidegrid.sources.tables import as_series, millis
 from tidegrid.sources.wide_csv import read_layout
 from tidegrid.streaming import append, ingest, runs, windows
+from tidegrid.streaming.guard import guard_stream
 
 _END = "~end"  # a marker series far behind the data lets the watermark pass the last group
 
@@ -70,6 +71,23 @@ def stream_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.filter(F.col("series") != _END), "total")
 
 
+@query("""WITH sh AS (SELECT event_type AS series, epoch_us(ts) // 1000 AS t, value AS v, xor(event_id, 63) AS pos,
+  event_id * 3 // (SELECT count(*) FROM events) AS part FROM events)
+SELECT series, t, v, pos FROM sh QUALIFY coalesce(t > max(t) OVER (PARTITION BY series ORDER BY part, pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)""")
+def stream_guard_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard with the last time of each series as keyed state, over batches of one file each."""
+    path, raw = new_folder(spark, "keyed"), table(spark, sf_dir, "events")
+    n = raw.count()
+    for part in range(3):  # files arrive in the order of their names
+        raw.filter(F.floor(F.col("event_id") * 3 / F.lit(n)) == part).coalesce(1).write.parquet(f"{path}/in/{part}")
+    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .parquet(f"{path}/in"))
+    points = as_series(stream, "event_type", "ts", "value", keep=["event_id"])
+    points = points.withColumn("pos", F.col("event_id").bitwiseXOR(F.lit(63))).drop("event_id")
+    return _run(guard_stream(points, "pos"), "keyed-guard")
+
+
 @query("""WITH sh AS (SELECT event_type AS series, epoch_us(ts) // 1000 AS t, value AS v, xor(event_id, 63) AS pos FROM events)
 SELECT series, t, v, pos FROM sh QUALIFY coalesce(t > max(t) OVER (PARTITION BY series ORDER BY pos
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)""")

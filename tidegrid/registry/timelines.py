@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import aggregates as agg
 from tidegrid.operators import nearest, resample as rs, sections as sec
+from tidegrid.operators.descent import nearest_points
 from tidegrid.operators.intervals import merge_intervals as merged
 from tidegrid.operators.scan import split_by
 from tidegrid.registry import (EVENTS, LANGUAGES, ROLES, SHIPMENTS, VECTORS, events, languages, query, roles,
                                rounded, shipments, table, vectors)
+from tidegrid.registry.pyramids import END, START, stored
 from tidegrid.session import materialize
 from tidegrid.sources.tables import as_series
 
@@ -161,6 +163,21 @@ def nearest_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_interval_join(probes, _bounds(spark, sf_dir), 600_000)
 
 
+_CURSOR = """WITH {ev}, iv AS (SELECT series, t AS min_t, t AS max_t FROM ev),
+pr AS (SELECT series, unnest(range({start}, {end}, {step})) AS t FROM (SELECT DISTINCT series FROM ev)), {near}
+SELECT near.series, near.t, kind, distance, min_t, v FROM near JOIN ev ON ev.series = near.series AND ev.t = near.min_t"""
+
+
+@query(_CURSOR.format(ev=EVENTS, start=START, end=END, step=43_200_001, near=_NEAREST.format(tol=900_000)))
+def cursor_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few cursor times in every series, looked up in a stored pyramid node by node."""
+    points = events(spark, sf_dir)
+    times = spark.range(START, END, 43_200_001).select(F.col("id").alias("t"))
+    series = points.select("series").distinct()
+    probes = series.withColumn("t", F.explode(F.lit([r["t"] for r in times.collect()]).cast("array<bigint>")))
+    return nearest_points(stored(spark, points), probes, 900_000)
+
+
 _PROBES = "pr AS (SELECT series, t + 1234567 AS t, event_id FROM ev)"
 
 
