@@ -69,4 +69,4 @@ LANGUAGES = "la AS (SELECT source AS series, doc_id AS t, lang AS v FROM documen
 
 def load() -> None:
     """Import every module that registers queries."""
-    from tidegrid.registry import calendars, folds, kinds, points, pyramids, streams, timelines, views  # noqa: F401
+    from tidegrid.registry import calendars, folds, kinds, labels, points, pyramids, streams, timelines, views  # noqa: F401
