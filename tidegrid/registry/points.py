@@ -13,6 +13,7 @@ from tidegrid.registry import (EVENTS, LANGUAGES, ROLES, SHIPMENTS, VECTORS, eve
                                rounded, shipments, table, vectors)
 from tidegrid.session import new_folder
 from tidegrid.sources import wide_csv
+from tidegrid.sources.readers import ColumnReader, read_columns
 from tidegrid.sources.store import read_points, write_points
 from tidegrid.sources.tables import as_series, millis
 
@@ -253,3 +254,27 @@ def infer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of all columns of the events file, from every row instead of the first ones."""
     layout = wide_csv.read_layout(spark, events_csv(spark, sf_dir), sample_rows=None)
     return spark.createDataFrame(list(zip(layout.header[1:], layout.kinds)), "name STRING, kind STRING")
+
+
+def change(state: tuple, t: int, cells: tuple) -> tuple[tuple, tuple | None]:
+    """The difference of two columns, and how much it has changed since the row before that had both."""
+    if None in cells:
+        return state, None
+    now = float(cells[0]) - float(cells[1])
+    return (now,), None if state[0] is None else (t, now - state[0])
+
+
+CHANGE = ColumnReader("change", ["value", "user_id"], "DOUBLE", "before DOUBLE", (None,), change)
+
+
+@query("""WITH d AS (SELECT event_id, CAST(trunc((epoch_us(ts) // 1000) / 1000.0 * 1000) AS BIGINT) AS t, value - user_id AS now
+  FROM events),
+c AS (SELECT t, now - lag(now) OVER (ORDER BY event_id) AS v FROM d)
+SELECT 'change' AS series, t, round(v, 6) AS v FROM c WHERE v IS NOT NULL""")
+def read_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's reader of two columns that remembers the row before."""
+    raw, path = table(spark, sf_dir, "events"), new_folder(spark, "changes")
+    (raw.orderBy("event_id").coalesce(1).select((millis(raw, "ts").cast("decimal(20,3)") / 1000).cast("decimal(20,3)").alias("time"),
+                                                "value", "user_id").write.option("header", True).csv(path))
+    header = ["time", "value", "user_id"]
+    return rounded(read_columns(wide_csv.read_wide_csv(spark, path, header), header, CHANGE).select("series", "t", "v"), "v", places=6)
