@@ -128,6 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = MOST_
 
     At most ``most_rows`` of each class, those of the smallest hash of doc_id, so the choice does not depend on order or
     partitions. Their places are found where the texts are; one task fits the model. Without labels every score is 0.5.
+    A doc_id with both labels counts as 1; labels that are null or neither 0 nor 1, and rows without doc_id or text, are left out.
+    The bound is one of doc_ids: a doc_id that ``docs`` has several times is fitted as often.
     """
     named = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
     named = named.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))

@@ -161,7 +161,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that no item of the benchmark is in."""
+    """The rows of ``docs``, with all their columns, that no item of the benchmark is in.
+
+    A null or empty text holds none and stays; rows without doc_id and repeated rows are judged like any other. An empty
+    benchmark leaves all rows, and an empty table gives an empty one.
+    """
     at = docs.columns.index(text)
     out = docs
     for block in benchmark_blocks(benchmark):

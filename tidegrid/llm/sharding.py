@@ -117,7 +117,11 @@ def shard(docs: DataFrame, shards: int, path: str, slots: int = SLOTS) -> DataFr
 
 
 def grow(docs: DataFrame, shards: int, path: str, version: int, slots: int = SLOTS) -> DataFrame:
-    """``shard`` by the version after ``version``, edited for ``shards`` shards and for what ``docs`` holds now."""
+    """``shard`` by the version after ``version``, edited for ``shards`` shards and for what ``docs`` holds now.
+
+    Null, empty, repeated and missing rows are dealt as ``shard`` does; a slot that had no rows before goes to the shard with the
+    fewest bytes. Fewer shards than the version has, or a version that is there already, are errors.
+    """
     spark = docs.sparkSession
     sized = with_slot(docs, slots)
     table = slot_table(sized)
