@@ -43,6 +43,50 @@ def test_many_copies_and_a_chain(frame):
     assert got == want and len({c for _, c in want.values()}) < 90
 
 
+def test_copies_that_hardly_link(frame, monkeypatch):
+    """A group of copies about as similar as the limit, of three lengths, whose entries are split into many blocks."""
+    monkeypatch.setattr(jaccard_join, "SPAN", 8)
+    base, rnd = words(9, 220), random.Random(9)
+    docs = [(i, " ".join(f"new{i}x{j}" if rnd.random() < 0.011 else w for j, w in enumerate(base[:120 + 50 * (i % 3)])))
+            for i in range(240)]
+    got = found(jaccard_join.jaccard_components(frame(docs)), "n_shingles", "component_id")
+    want = brute.components(docs)
+    assert got == want and len({c for _, c in want.values()}) > 1
+
+
+def test_parities_lose_no_similar_pair_and_few_others_pass():
+    rnd = np.random.default_rng(5)
+    sets = []
+    for n in (1, 2, 7, 30, 31, 32, 33, 260, 1000, 1025):
+        base = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4):
+            gone = rnd.random(len(base)) < share
+            sets.append(np.unique(np.concatenate([base[~gone], rnd.integers(0, 1 << 63, int(gone.sum()), dtype=np.uint64)])))
+    a, b = np.triu_indices(len(sets), 1)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ok = 100 * np.minimum(sizes[a], sizes[b]) >= 75 * np.maximum(sizes[a], sizes[b])
+    a, b = a[ok], b[ok]
+    shared = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b)])
+    ratio = 100 * shared / (sizes[a] + sizes[b] - shared)
+    kept = jaccard_join.alike(a, b, sizes, [jaccard_join.parity(s) for s in sets])
+    assert kept[ratio >= 75].all() and (ratio >= 75).sum() > 30
+    large = np.minimum(sizes[a], sizes[b]) >= 200
+    assert not kept[large & (ratio < 70)].any() and (large & (ratio < 70)).sum() > 20
+
+
+@pytest.mark.parametrize("rows, own, begin, end", [(0, 5, 1, 3), (1, 1, 1, 9), (30, 30, 5, 64), (30, 7, 2, 6), (900, 800, 64, 900)])
+def test_places_are_all_pairs_of_these_distances(rows, own, begin, end):
+    got = [p for x, y in jaccard_join.places(rows, own, begin, end) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert got == [(x, y) for x in range(min(own, rows)) for y in range(x + begin, min(x + end, rows))]
+
+
+def test_rarer_tokens_come_first():
+    tokens, powers = np.arange(8, dtype=np.uint64), np.array([4, 0, 9, 3, 3, 0, 5, 4], np.uint8)
+    keys, kinds = jaccard_join.entries(tokens, powers)  # a prefix of three, extended by one: two rare, then 3 and 4
+    assert keys[:2].tolist() == [1, 5] and len(keys) == 4 and kinds.tolist() == [0, 0, 0, jaccard_join.LIGHT]
+    assert keys[2] == jaccard_join.mix(tokens[3:4], tokens[4:5])[0]
+
+
 @pytest.mark.parametrize("remove, columns, plain", [(suffix_dedup.remove_repeats, BYTES, brute.repeated_bytes),
                                                     (window_dedup.remove_repeats, WORDS, brute.repeated_windows)])
 def test_repeated_and_missing_ids(frame, remove, columns, plain):

@@ -5,11 +5,16 @@ one. Two sets of n and m tokens with a Jaccard similarity of at least t share t
 n - t * n + 1 tokens of either at least one is shared. A document whose first tokens are all rare is indexed by each of them.
 One that has too few rare tokens extends its prefix by one and is indexed by its rare tokens and by all pairs of the frequent
 tokens in it: two such documents share a rare token or two frequent ones. Where the pairs would be too many (documents made
-of frequent tokens) it is indexed by single frequent tokens, and so are those it may meet, in an index of their own.
+of frequent tokens) it is indexed by single frequent tokens, and so are those it may meet, in an index of their own. Of the
+frequent tokens the rarer ones come first.
 
 Documents with equal sets are one node. Only links that can join components are needed: an entry of the index offers its
 members to each other over growing distances, and members that are in one component already are skipped. In the end every two
 members of every entry have been compared or are connected, so no link between components is missed.
+
+Members are compared where they meet by the parities of their sets: bit i says whether the number of tokens that end in i is
+odd. Where two parities differ the sets differ, in a token for each bit at least, so a pair with too many such bits is not
+similar. Only what passes, hardly any pair under a similarity of 0.72, becomes a row and is verified token by token.
 """
 
 from __future__ import annotations
@@ -35,8 +40,11 @@ NUMERATOR = 75
 FREQUENT, MOST = 12, 1 << 20
 #: Frequent tokens of a prefix up to which their pairs are indexed.
 PAIRED = 12
-#: Members of an entry are compared with the next NEAR first, then with GROWTH times as many in each round.
-NEAR, GROWTH = 4, 16
+#: Members of an entry are compared with the next NEAR first, then with GROWTH times as many in each round. A task has SPAN
+#: members of an entry and those that follow them within the distance.
+NEAR, GROWTH, SPAN = 4, 16, 1024
+#: Bits of a parity for each token at least, and bytes of parities compared by one call.
+BITS, COMPARED = 8, 4 << 20
 _ENTRY_KINDS = (np.uint64, np.int64, np.int32, np.uint8)
 #: Entries of single tokens, and how their members were indexed: by rare tokens, pairs, or frequent tokens in an index of
 #: their own, where two members that also have pairs (LIGHT) need not meet.
@@ -73,8 +81,8 @@ def _cell(h: np.ndarray, buckets: int) -> np.ndarray:
     return bucket_of(g, buckets).astype(U) << U(32) | g & U(0xFFFFFFFF)
 
 
-def frequent_tokens(rows: DataFrame, buckets: int) -> np.ndarray:
-    """Sorted cells of the tokens that are in the most documents; at most MOST of them."""
+def frequent_tokens(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cells of the tokens that are in the most documents, MOST at most, and the power of two of documents each is in."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in held(batches):
             parts = list(shingles(batch.column("text")))
@@ -104,15 +112,19 @@ def frequent_tokens(rows: DataFrame, buckets: int) -> np.ndarray:
         if kept + by_power[p] > MOST:
             break
         kept, least = kept + by_power[p], 1 << p
-    cells = found.filter(F.col("n") >= least).select("cell").collect()  # MOST at most
-    return np.sort(np.array([r["cell"] for r in cells], U))
+    cells = found.filter(F.col("n") >= least).select("cell", power.alias("power")).collect()  # MOST at most
+    cell, powers = np.array([r["cell"] for r in cells], U), np.array([r["power"] for r in cells], np.uint8)
+    order = np.argsort(cell)
+    return cell[order], powers[order]
 
 
-def entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The index entries of one set (sorted), and the kind of each; ``frequent`` tells which tokens are."""
+def entries(tokens: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index entries of one set (sorted), and the kind of each; ``powers`` is 0 where a token is rare, else how frequent."""
     n = len(tokens)
     first = n - least_overlap(n) + 1
+    frequent = powers > 0
     rare, often = tokens[~frequent], tokens[frequent]
+    often = often[np.argsort(powers[frequent], kind="stable")]
     if len(rare) >= first:
         return rare[:first], np.full(first, PLAIN, np.uint8)
     single = often[:first - len(rare)]
@@ -148,16 +160,50 @@ def near_pairs(key, row, n, kind, component, begin: int, end: int) -> tuple[np.n
     return (np.concatenate(a), np.concatenate(b)) if a else (row[:0], row[:0])
 
 
-def apart(keys_a: np.ndarray, keys_b: np.ndarray, n: int, m: int) -> bool:
-    """Whether the first rare tokens of two sets, in order, already differ too much for the sets to be similar.
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The parities of a set: a power of two of bits, at least BITS for each token and 256 in all, in words of 64."""
+    size = 1 << max(8, (BITS * len(tokens) - 1).bit_length())
+    words, place = np.zeros(size // 64, U), tokens & U(size - 1)
+    np.bitwise_xor.at(words, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+    return words
 
-    Up to the place where the shorter of the two lists ends both are complete, and what differs there differs in the sets.
-    """
-    end = min(keys_a[-1], keys_b[-1])
-    both = np.sort(np.concatenate([keys_a[keys_a <= end], keys_b[keys_b <= end]]))
-    differ = len(both) - 2 * int((both[1:] == both[:-1]).sum())
-    least = -(-NUMERATOR * (n + m) // (100 + NUMERATOR))
-    return differ > n + m - 2 * least
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The same parities in ``size`` words, not more than there are."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def may_differ(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Tokens that are in one of two similar sets alone, at most."""
+    return n + m - 2 * -(-NUMERATOR * (n + m) // (100 + NUMERATOR))
+
+
+def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, parities: list[np.ndarray]) -> np.ndarray:
+    """Which pairs (a[i], b[i]) of rows have parities that similar sets can have; their sizes are ``n``."""
+    width = np.array([len(p) for p in parities], np.int64)
+    common, most = np.minimum(width[a], width[b]), may_differ(n[a], n[b])
+    keep = np.zeros(len(a), bool)
+    for size in np.unique(common):
+        pairs = np.flatnonzero(common == size)
+        rows = np.unique(np.concatenate([a[pairs], b[pairs]]))
+        table = np.stack([folded(parities[r], int(size)) for r in rows])
+        step = max(1, COMPARED // (8 * int(size)))
+        for first in range(0, len(pairs), step):
+            some = pairs[first:first + step]
+            x, y = table[np.searchsorted(rows, a[some])], table[np.searchsorted(rows, b[some])]
+            keep[some] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[some]
+    return keep
+
+
+def places(rows: int, own: int, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places x < y < ``rows`` at distances begin..end - 1 with x < ``own``, in parts of some 65,536."""
+    own = min(own, rows - begin)
+    step = max(1, (1 << 16) // max(1, min(end, rows) - begin))
+    for first in range(0, own, step):
+        x = np.arange(first, min(first + step, own))
+        count = np.minimum(x + end, rows) - x - begin
+        before = np.cumsum(count) - count
+        yield np.repeat(x, count), np.arange(count.sum()) + np.repeat(x + begin - before, count)
 
 
 def _paired(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -167,25 +213,22 @@ def _paired(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *[f"{c}_{side}" for side in ("a", "b") for c in columns])
 
 
-def verified(pairs: DataFrame, rows: DataFrame, table: DataFrame) -> DataFrame:
-    """The distinct ``pairs`` (a, b) whose sets are similar.
-
-    Most pairs that are not have entries that show it (``table``); the sets of the others are made from their texts again
-    and compared token by token.
-    """
+def possible(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (a, b) whose parities (in ``table``) do not show that the sets are not similar."""
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m, plain = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "plain"))
-            keys = zip(batch.column("keys_a"), batch.column("keys_b"), strict=True)
-            keep = [not (one and apart(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), int(a), int(b)))
-                    for one, a, b, (x, y) in zip(plain, n, m, keys, strict=True)]
+            k = len(batch)
+            sizes = np.concatenate([batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")])
+            parities = [np.frombuffer(x, U) for c in ("bits_a", "bits_b") for x in batch.column(c).to_pylist()]
+            keep = alike(np.arange(k), np.arange(k) + k, sizes, parities)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    known = table.select("row_id", "n", "plain", "keys")
-    asked = _paired(pairs.distinct(), known, "n", "plain", "keys")
-    asked = asked.withColumn("plain", F.col("plain_a") & F.col("plain_b"))
-    left = materialize(map_batches(asked.select("a", "b", "n_a", "n_b", "plain", "keys_a", "keys_b"), may_be, "a long, b long"),
-                       "pairs")
+    return map_batches(_paired(pairs.distinct(), table, "n", "bits"), may_be, "a long, b long")
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets, made from the texts again, are similar token by token."""
+    left = materialize(pairs, "pairs")
     ids = left.select(F.col("a").alias("row_id")).unionAll(left.select(F.col("b").alias("row_id"))).distinct()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +252,22 @@ def verified(pairs: DataFrame, rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _further(begin: int, end: int):
-    """Pairs of members of an entry at these distances that are in two components."""
+    """Pairs of members of an entry, the first among the SPAN of a block, at these distances, in two components and alike."""
     def pairs(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("row_id", "ascending")])
-        a, b = near_pairs(*(table[c].to_numpy() for c in ("key", "row_id", "n", "kind", "component")), begin, end)
-        return pa.table({"a": a, "b": b})
+        table = table.sort_by([("place", "ascending")])
+        place, row, n, kind, component = (table[c].to_numpy() for c in ("place", "row_id", "n", "kind", "component"))
+        n = n.astype(np.int64)
+        parities = [np.frombuffer(x, U) for x in table["bits"].to_pylist()]
+        own = int(np.searchsorted(place, (int(table["block"][0].as_py()) + 1) * SPAN))
+        a, b = [row[:0]], [row[:0]]
+        for x, y in places(len(row), own, begin, end):
+            ok = (component[x] != component[y]) & ~((kind[x] == LIGHT) & (kind[y] == LIGHT)) & \
+                (100 * np.minimum(n[x], n[y]) >= NUMERATOR * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            ok = alike(x, y, n, parities)
+            a.append(row[x[ok]])
+            b.append(row[y[ok]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
     return pairs
 
 
@@ -238,30 +292,32 @@ def row_components(rows: DataFrame, size: int) -> DataFrame:
     """``row_id, n_shingles, component`` (a row_id) of distinct ``rows`` (row_id, text) with ``size`` bytes of text."""
     spark = rows.sparkSession
     buckets = bucket_count(spark, size)
-    often = spark.sparkContext.broadcast(frequent_tokens(rows, buckets))  # MOST tokens at most
+    often = spark.sparkContext.broadcast(frequent_tokens(rows, buckets))  # MOST tokens at most, 9 bytes each
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, power = often.value
         for batch in batches:
-            n, one, two, keys, kinds, plain = [], [], [], [], [], []
+            n, one, two, keys, kinds, bits = [], [], [], [], [], []
             for s in shingles(batch.column("text")):
                 cells = _cell(s, buckets)
-                at = np.searchsorted(often.value, cells)
-                known = np.zeros(len(s), bool)
-                known[at < len(often.value)] = often.value[at[at < len(often.value)]] == cells[at < len(often.value)]
-                key, kind = entries(s, known) if len(s) else (s, np.zeros(0, np.uint8))
+                at = np.searchsorted(frequent, cells)
+                inside, powers = np.flatnonzero(at < len(frequent)), np.zeros(len(s), np.uint8)
+                same = inside[frequent[at[inside]] == cells[inside]]
+                powers[same] = power[at[same]]
+                key, kind = entries(s, powers) if len(s) else (s, np.zeros(0, np.uint8))
                 n.append(len(s))
                 one.append(mix(s, s).sum(dtype=U).astype(np.int64))
                 two.append(mix(s, s, 1).sum(dtype=U).astype(np.int64))
                 keys.append(key.tobytes())
                 kinds.append(kind.tobytes())
-                plain.append(not kind.any())
+                bits.append(parity(s).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 pa.array(keys, pa.binary()), pa.array(kinds, pa.binary()), pa.array(plain, pa.bool_())],
-                ["row_id", "n", "one", "two", "keys", "kinds", "plain"])
+                 pa.array(keys, pa.binary()), pa.array(kinds, pa.binary()), pa.array(bits, pa.binary())],
+                ["row_id", "n", "one", "two", "keys", "kinds", "bits"])
 
     table = materialize(map_batches(rows.select("row_id", "text"), indexed, "row_id long, n int, one long, two long, "
-                                    "keys binary, kinds binary, plain boolean"), "entries")
+                                    "keys binary, kinds binary, bits binary"), "entries")
     # equal sets are one node, named by its smallest row; empty sets are alone
     nodes = table.filter("n > 0").groupBy("n", "one", "two").agg(F.min("row_id").alias("node"))
     nodes = materialize(nodes, "nodes")
@@ -287,24 +343,26 @@ def row_components(rows: DataFrame, size: int) -> DataFrame:
         key, row, n, kind = key[again], row[again], n[again], kind[again]
         a, b = near_pairs(key, row, n, kind, None, 1, NEAR + 1)
         new = new_group(key)
+        starts = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, int)
         members = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(key) else np.zeros(0, int)
         large = members > NEAR + 1
         # of large entries all members are also offered to the first one, so that most components are stars at once
-        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, int)
-        low, high = np.minimum(n, n[first]).astype(np.int64), np.maximum(n, n[first]).astype(np.int64)
-        star = large & (row != row[first]) & (100 * low >= NUMERATOR * high)
-        a, b = np.concatenate([a, row[first][star]]), np.concatenate([b, row[star]])
+        low, high = np.minimum(n, n[starts]).astype(np.int64), np.maximum(n, n[starts]).astype(np.int64)
+        star = large & (row != row[starts]) & (100 * low >= NUMERATOR * high)
+        a, b = np.concatenate([a, row[starts][star]]), np.concatenate([b, row[star]])
         pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         none, zero = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())
         return pa.concat_tables([
-            pa.table({"key": none, "a": pairs[:, 0], "b": pairs[:, 1], "n": zero, "kind": zero}),
+            pa.table({"key": none, "a": pairs[:, 0], "b": pairs[:, 1], "n": zero, "kind": zero, "place": zero}),
             pa.table({"key": key[large].astype(np.int64), "a": row[large], "b": pa.nulls(int(large.sum()), pa.int64()),
-                      "n": n[large].astype(np.int32), "kind": kind[large].astype(np.int32)})])
+                      "n": n[large].astype(np.int32), "kind": kind[large].astype(np.int32),
+                      "place": (np.arange(len(key)) - starts)[large].astype(np.int32)})])
 
     offers = materialize(map_groups(map_batches(firsts.select("row_id", "n", "keys", "kinds"), dealt, PACKS), "bucket",
-                                    offered, "key long, a long, b long, n int, kind int"), "offers")
-    edges = materialize(verified(offers.filter("key IS NULL").select("a", "b"), rows, table), "edges")
-    members = offers.filter("key IS NOT NULL").select("key", F.col("a").alias("row_id"), "n", "kind")
+                                    offered, "key long, a long, b long, n int, kind int, place int"), "offers")
+    parities = table.select("row_id", "n", "bits")
+    edges = materialize(verified(possible(offers.filter("key IS NULL").select("a", "b"), parities), rows), "edges")
+    members = offers.filter("key IS NOT NULL").select("key", F.col("a").alias("row_id"), "n", "kind", "place")
     found = components(edges)
     begin, end = NEAR + 1, NEAR * GROWTH
     while True:
@@ -317,8 +375,12 @@ def row_components(rows: DataFrame, size: int) -> DataFrame:
             break
         members = known.drop("component")
 
-        pairs = map_groups(known, "key", _further(begin, end), "a long, b long")
-        links = materialize(verified(pairs, rows, table), "edges")
+        asked, _ = with_ids(parities.select("row_id", "bits"), known.select("row_id").distinct())
+        back = F.greatest(F.col("place") - (end - 1), F.lit(0))
+        blocks = F.sequence(F.floor(back / SPAN), F.floor(F.col("place") / SPAN))
+        spread = known.join(asked, "row_id").withColumn("block", F.explode(blocks))
+        pairs = map_groups(spread, ["key", "block"], _further(begin, end), "a long, b long").distinct()
+        links = materialize(verified(pairs, rows), "edges")
         if not links.isEmpty():  # to the components so far, as stars
             stars = found.select(F.col("row_id").alias("a"), F.col("component").alias("b"))
             found = components(stars.unionAll(links))

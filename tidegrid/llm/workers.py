@@ -44,7 +44,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``fn`` on all rows of each value of ``key``."""
+def map_groups(df: DataFrame, key: str | list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` on all rows of each value of ``key``, a column or several."""
     send_package(df.sparkSession)
     return df.groupBy(key).applyInArrow(fn, schema)
