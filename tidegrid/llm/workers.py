@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import zipfile
@@ -38,10 +40,27 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker serves one stage after the other and would keep the most of any."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc
+    if trim:
+        trim(0)
+
+
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``fn``, and ``release`` at the end of a task."""
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str | T.StructType) -> DataFrame:
     send_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(released(fn), schema)
 
 
 def map_groups(df: DataFrame, key: str | list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
